@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op9_decontamination
+from .near_dedup import op7_near_dedup
 from .packing import op10_packing
 from .token_counts import op3_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op3_token_counts, op9_decontamination, op10_packing)
+    own = (op3_token_counts, op7_near_dedup, op9_decontamination, op10_packing)
     return {f.__name__: f for f in own}
 
 
