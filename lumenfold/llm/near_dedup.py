@@ -6,10 +6,11 @@ BANDS keys of ROWS minima each find candidates, and the LOW_BITS low bits of eac
 the similarity of a pair by counting equal groups of bits and correcting for those equal by chance. Pairs whose
 estimate reaches the threshold less MARGIN are confirmed on the full sets.
 
-Candidates are taken in three steps, each linear in the rows of a key but the last: every member of a key against
-the smallest id under it; then, under keys whose members are in several components, against a member picked by hash;
-then all remaining pairs of one key in different components. Pairs within a component need no test, so that large
-groups of near copies aren't expanded, and no pair of different components that shares a key goes untested. A pair at
+Candidates are taken in two steps. First every member of a key is tested against the smallest id under it and, in
+PICK_BANDS bands, against a member picked by hash: this is linear in the members, and joins large groups of near copies
+without expanding them. Then, under keys whose members are in several components, all pairs across components are
+compared by a signature of SHARP_MINIMA minima (within the join, which returns each pair once, if it may be similar enough)
+and confirmed. Pairs within a component need no test, and no other pair that shares a key goes without one. A pair at
 the threshold shares a key with probability 1 - (1 - 0.75^5)^48, that is all but 2 in a million; its estimate falls
 short by chance (5 standard errors) more rarely still. Shingles are compared by 64-bit hashes.
 
@@ -38,12 +39,18 @@ BANDS, ROWS = 48, 5
 MINIMA = BANDS * ROWS
 LOW_BITS = 4
 MARGIN = 0.15
+#: Bands whose keys also have a picked member that all others are tested against.
+PICK_BANDS = 8
+#: The sharper signature that documents of unsettled keys get.
+SHARP_MINIMA, SHARP_BITS, SHARP_MARGIN = 2048, 1, 0.073
+#: Its first minima, which settle most pairs.
+QUICK_MINIMA, QUICK_MARGIN = 256, 0.21
 LONGS = MINIMA * LOW_BITS // 64
 SKETCH = "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, bits array<long>"
 
 _rng = np.random.Generator(np.random.PCG64(5711))
-_A = _rng.integers(1, 2**32, MINIMA, dtype=np.uint32) | np.uint32(1)
-_B = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32)
+_A = _rng.integers(1, 2**32, SHARP_MINIMA, dtype=np.uint32) | np.uint32(1)
+_B = _rng.integers(0, 2**32, SHARP_MINIMA, dtype=np.uint32)
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
@@ -57,25 +64,30 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """The minima of each non-empty set, a row for each."""
+def minima(sets: list[np.ndarray], n: int = MINIMA) -> np.ndarray:
+    """The first n minima of each non-empty set, a row for each."""
     flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     starts = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), MINIMA), dtype=np.uint32)
-    for k in range(MINIMA):
+    out = np.empty((len(sets), n), dtype=np.uint32)
+    for k in range(n):
         out[:, k] = np.minimum.reduceat(flat * _A[k] + _B[k], starts)
     return out
 
 
+def packed(m: np.ndarray, low_bits: int) -> np.ndarray:
+    """The low bits of each minimum, 64 / low_bits of them to a long."""
+    per = 64 // low_bits
+    low = (mix(m.astype(np.uint64)) & np.uint64((1 << low_bits) - 1)).reshape(len(m), m.shape[1] // per, per)
+    return np.bitwise_or.reduce(low << (np.arange(per, dtype=np.uint64) * np.uint64(low_bits)), axis=2).view(np.int64)
+
+
 def sketches(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band keys and packed low bits."""
     rows = m.reshape(len(m), BANDS, ROWS).astype(np.uint64)
     keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407), (len(m), BANDS)).copy()
     for j in range(ROWS):
         keys = mix(keys ^ rows[:, :, j])
-    low = (mix(m.astype(np.uint64)) & np.uint64((1 << LOW_BITS) - 1)).reshape(len(m), LONGS, 64 // LOW_BITS)
-    packed = np.bitwise_or.reduce(low << (np.arange(64 // LOW_BITS, dtype=np.uint64) * np.uint64(LOW_BITS)), axis=2)
-    return keys.view(np.int64), packed.view(np.int64)
+    return keys.view(np.int64), packed(m, LOW_BITS)
 
 
 def _lists(rows: np.ndarray, at: list[int], n: int) -> pa.Array:
@@ -106,40 +118,63 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "items"])
 
 
-def equal_groups(a: Column, b: Column) -> Column:
-    """How many groups of LOW_BITS bits are equal in two packed signatures."""
-    ones = F.lit(int("1" * (64 // LOW_BITS), 1 << LOW_BITS))
-    differing = F.lit(0)
-    for i in range(LONGS):
-        x = a[i].bitwiseXOR(b[i])
+def _sharp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            sets = [x if len(x) else np.zeros(1, np.uint64) for x in shingle_sets(part.column("text"))]
+            bits = packed(minima(sets, SHARP_MINIMA), SHARP_BITS)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(bits, list(range(len(sets))), len(sets))], ["doc_id", "sharp"])
+
+
+def equal_groups(a: Column, b: Column, n: int, low_bits: int) -> Column:
+    """How many of n groups of low_bits bits are equal in two packed signatures."""
+    mask = int("1".rjust(low_bits, "0") * (64 // low_bits), 2)
+    ones = F.lit(mask - (1 << 64) if mask >> 63 else mask)
+
+    def differing(x: Column) -> Column:
         shift = 1
-        while shift < LOW_BITS:
+        while shift < low_bits:
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
             shift *= 2
-        differing = differing + F.bit_count(x.bitwiseAND(ones))
-    return F.lit(MINIMA) - differing
+        return F.bit_count(x.bitwiseAND(ones))
 
+    longs = n * low_bits // 64
+    if longs <= 16:  # written out, so that it is compiled with the join; more would be too long a method
+        return F.lit(n) - sum((differing(a[i].bitwiseXOR(b[i])) for i in range(1, longs)), differing(a[0].bitwiseXOR(b[0])))
+    return F.lit(n) - F.aggregate(F.zip_with(a, b, lambda x, y: differing(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
-def estimated(a: Column, b: Column) -> Column:
-    """Similarity from equal groups; 2^-LOW_BITS of the others are equal by chance."""
-    chance = 2.0**-LOW_BITS
-    return (equal_groups(a, b) / F.lit(float(MINIMA)) - chance) / (1 - chance)
 
+def estimated(a: Column, b: Column, n: int = MINIMA, low_bits: int = LOW_BITS) -> Column:
+    """Similarity from equal groups; 2^-low_bits of the others are equal by chance."""
+    chance = 2.0**-low_bits
+    return (equal_groups(a, b, n, low_bits) / F.lit(float(n)) - chance) / (1 - chance)
 
-def _likely(a: Column, b: Column) -> Column:
-    return estimated(a, b) >= SIMILARITY[0] / SIMILARITY[1] - MARGIN
 
+def _likely(a: Column, b: Column, margin: float, n: int = MINIMA, low_bits: int = LOW_BITS) -> Column:
+    return estimated(a, b, n, low_bits) >= SIMILARITY[0] / SIMILARITY[1] - margin
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
-    """Of pairs (u, v), those whose full sets are similar enough. Only the sets of documents in a pair are made."""
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    sets = written(texts.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets, "doc_id long, items array<long>"), f"{label}-sets")
+
+def _first_shared(a: str, b: str) -> Column:
+    """Whether the key two rows meet under is the first one they share, so that a pair comes up once."""
+    before = lambda x: F.slice(F.col(f"{x}.bands"), F.lit(1), F.array_position(F.col(f"{x}.bands"), F.col("a.key")).cast("int") - 1)
+    return ~F.arrays_overlap(before(a), before(b))
+
+
+def _of(texts: DataFrame, ids: DataFrame, make, schema: str, label: str) -> DataFrame:
+    """What `make` gives for the documents of some ids; only their texts are moved."""
+    ids = ids.select(F.col("doc_id").alias("id")).distinct().hint("shuffle_hash")
+    return written(texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(make, schema), label)
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs (u, v), those whose full sets are similar enough."""
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id"))
+    sets = _of(texts, ids, _sets, "doc_id long, items array<long>", "sets")
     u = sets.select(F.col("doc_id").alias("u"), F.col("items").alias("a"))
     v = sets.select(F.col("doc_id").alias("v"), F.col("items").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
     least, of = SIMILARITY
-    close = both * F.lit(least + of) >= (F.size("a") + F.size("b")) * F.lit(least)
-    return written(pairs.join(u, "u").join(v, "v").where(close).select("u", "v"), f"{label}-links")
+    close = F.size(F.array_intersect("a", "b")) * F.lit(least + of) >= (F.size("a") + F.size("b")) * F.lit(least)
+    return written(pairs.join(u, "u").join(v, "v").where(close).select("u", "v"), "links")
 
 
 def find_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -152,40 +187,37 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
         "signatures",
     )
     bits = classes.select("doc_id", "bits")
-    # Shared keys only: most keys have one member.
-    banded = classes.select("doc_id", F.explode("bands").alias("key"))
-    lead = written(banded.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low"), "leaders")
-    members = written(banded.join(lead.hint("shuffle_hash"), "key"), "members")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Of pairs (u, v), those whose signatures are likely similar."""
-        a = bits.select(F.col("doc_id").alias("u"), F.col("bits").alias("a"))
-        b = bits.select(F.col("doc_id").alias("v"), F.col("bits").alias("b"))
-        return pairs.join(a, "u").join(b, "v").where(_likely(F.col("a"), F.col("b"))).select("u", "v")
-
-    first = written(members.where("doc_id <> low").select(F.col("low").alias("u"), F.col("doc_id").alias("v")).distinct(), "pairs")
-    links = _confirmed(written(near(first), "near"), texts, "star")
-
-    def unsettled(links: DataFrame, label: str) -> DataFrame:
-        """key, doc_id, component under keys with several components."""
-        found = written(connected_components(links), f"{label}-components")
-        placed = written(members.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), f"{label}-placed")
-        open_keys = written(placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"), f"{label}-open")
-        return written(placed.join(open_keys.hint("shuffle_hash"), "key", "left_semi"), f"{label}-unsettled")
-
-    left = unsettled(links, "first")
-    pick = written(left.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "doc_id").alias("h"), F.col("doc_id").alias("p"), F.col("component").alias("c"))).alias("s")).select("key", "s.p", "s.c"), "picks")
-    second = left.join(pick, "key").where("component <> c").select(F.least("doc_id", "p").alias("u"), F.greatest("doc_id", "p").alias("v")).distinct()
-    second = written(second.join(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "pairs")
-    links = links.unionByName(_confirmed(written(near(second), "near"), texts, "pick"))
-
-    left = written(unsettled(links, "second").join(bits, "doc_id"), "rest")
-    a, b = left.alias("a"), left.alias("b")
-    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component")) & _likely(F.col("a.bits"), F.col("b.bits")))
-    rest = rest.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
-    links = links.unionByName(_confirmed(written(rest, "near"), texts, "rest"))
-
+    banded = classes.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    # Keys with several members only: most have one. `pick` is a member that differs from key to key.
+    pick = F.when(F.col("band") < PICK_BANDS, F.struct(F.xxhash64("key", "doc_id").alias("h"), F.col("doc_id").alias("p")))
+    lead = banded.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(pick).alias("pick")).where("low < high")
+    lead = written(lead.select("key", "low", F.col("pick.p").alias("pick")), "leaders")
+    members = written(banded.select("doc_id", "key").join(lead.hint("shuffle_hash"), "key"), "members")
+
+    tested = members.select(F.explode(F.array_compact(F.array("low", "pick"))).alias("p"), "doc_id").where("p <> doc_id")
+    tested = written(tested.select(F.least("p", "doc_id").alias("u"), F.greatest("p", "doc_id").alias("v")).distinct(), "pairs")
+    a = bits.select(F.col("doc_id").alias("u"), F.col("bits").alias("a"))
+    b = bits.select(F.col("doc_id").alias("v"), F.col("bits").alias("b"))
+    near = tested.join(a, "u").join(b, "v").where(_likely(F.col("a"), F.col("b"), MARGIN)).select("u", "v")
+    links = _confirmed(written(near, "near"), texts)
+
+    # Keys whose members are in several components: the pairs across them, by a sharper estimate.
     found = written(connected_components(links), "components")
+    placed = written(members.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "placed")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.mode("component").alias("main")).where("x < y")
+    open_keys = written(open_keys.select("key", "main"), "open")
+    left = written(placed.join(open_keys.hint("shuffle_hash"), "key").withColumn("main", F.col("component") == F.col("main")), "unsettled")
+    sharp = _of(texts, left.select("doc_id"), _sharp, "doc_id long, sharp array<long>", "sharp")
+    left = written(left.join(written(sharp.join(classes.select("doc_id", "bands"), "doc_id"), "sharp"), "doc_id"), "rest")
+    # A key's most frequent component isn't joined with itself, row by row; the others meet all rows of the key.
+    a, b = left.where(~F.col("main")).alias("a"), left.alias("b")
+    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & (F.col("b.main") | (F.col("a.doc_id") < F.col("b.doc_id")))
+    across &= _likely(F.col("a.sharp"), F.col("b.sharp"), QUICK_MARGIN, QUICK_MINIMA, SHARP_BITS)
+    rest = a.join(b, across & _likely(F.col("a.sharp"), F.col("b.sharp"), SHARP_MARGIN, SHARP_MINIMA, SHARP_BITS) & _first_shared("a", "b"))
+    rest = rest.select(F.least("a.doc_id", "b.doc_id").alias("u"), F.greatest("a.doc_id", "b.doc_id").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
+    more = _confirmed(written(rest, "near"), texts)
+    if not more.isEmpty():
+        found = written(connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
     classed = written(reps.join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("class_component")), "classed")
     out = rows.select("doc_id", "text_hash", "n_shingles", "digest").join(classed, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
