@@ -38,9 +38,9 @@ def _spans(text: Column, kind: int, pattern: str, group: int = 0) -> Column:
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["0"]
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["1"]).alias("end"), x["2"].alias("value"))
-        return F.struct((start + x["1"]).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        start = acc["at"] + x["gap"]
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["size"]).alias("end"), x["value"].alias("value"))
+        return F.struct((start + x["size"]).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
     folded = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
     return F.when(text.rlike(pattern), folded).otherwise(none)
