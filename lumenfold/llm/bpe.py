@@ -43,7 +43,7 @@ def _as_ranks(spec: dict) -> tuple[dict[bytes, int], dict[str, int]] | None:
     letters, special = _byte_letters(), {t["content"]: t["id"] for t in added}
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     made = [model["vocab"].get(a + b, -1) for a, b in merges]
-    if any(x >= y for x, y in zip(made, made[1:])) or made and made[0] < 256 or len(model["vocab"]) - len(special) != 256 + len(merges):
+    if any(x >= y for x, y in zip(made, made[1:])) or made and made[0] < 256 or len(model["vocab"].keys() - special) != 256 + len(merges):
         return None
     ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
     return ranks, special
