@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, topk, warc
+from . import licenses, oracles, topk, warc
 from .decontaminate import op9_decontamination
 from .language_id import op5_language_id
 from .licenses import op8_license_scan
@@ -25,4 +25,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_index": warc.ORACLE, "op6_exact_topk": topk.ORACLE, "op8_license_scan": licenses.oracle()}
+    return {
+        "op2_warc_index": warc.ORACLE,
+        "op4_secret_scan": oracles.SECRET_SCAN,
+        "op6_exact_topk": topk.ORACLE,
+        "op7_near_dedup": oracles.NEAR_DEDUP,
+        "op8_license_scan": licenses.oracle(),
+        "op9_decontamination": oracles.DECONTAMINATION,
+    }
