@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,32 +9,26 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
+from ..storage import shared_path, shared_root  # noqa: F401
+
 #: Largest value, in bytes, that an operator broadcasts or collects at once.
 BROADCAST_BYTES = 64 << 20
+#: Text that goes to Python at once.
+BATCH_BYTES = 8 << 20
 #: Rows held out of every fit: crc32(doc_id as text) mod 3 is HELD_OUT.
 HELD_OUT = 1
 
 
-def shared_root(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir; where it is unset (a single machine), a new temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/lumenfold/{label}-{uuid.uuid4().hex}"
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most: with long texts, batches of the default size fill an executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: its lineage ends there, and it outlives executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write a table in the shared folder and read it back."""
+    small_batches(df.sparkSession)
+    return storage.written(df, label)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -57,6 +49,7 @@ def held_out(doc_id: Column) -> Column:
 
 def doc_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string), a null text as an empty one; other columns, whatever their names, are left."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, doc_rows, slices, table, written
+from .common import BROADCAST_BYTES, doc_rows, slices, small_batches, table, written
 from .textscan import ALNUM, Words
 
 WINDOW = 10
@@ -149,6 +149,7 @@ def _cleaner(index, spans: bool, text_col: str) -> Callable[[Iterator[pa.RecordB
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", window: int = WINDOW, max_bytes: int = BROADCAST_BYTES, text_col: str = "text") -> DataFrame:
     """docs, all columns, without the documents that have a hit word, or without the runs of hit words ('spans')."""
+    small_batches(docs.sparkSession)
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove: {remove!r}")
     parts = _benchmark_parts(benchmark, max_bytes)

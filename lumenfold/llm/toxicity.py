@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_rows, held_out, slices, table
+from .common import doc_rows, held_out, slices, small_batches, table
 from .ngrams import NGrams, bounded_sample
 
 ORDERS = 3, 4, 5
@@ -111,6 +111,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", thr
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """docs, all columns, without the rows whose score reaches the threshold."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, label))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
