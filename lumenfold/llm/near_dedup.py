@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import doc_rows, slices, table, written
-from .components import connected_components
 from .textscan import SPACED, Words, mix
 
 SHINGLE = 5
@@ -42,9 +42,9 @@ MARGIN = 0.15
 #: Bands whose keys also have a picked member that all others are tested against.
 PICK_BANDS = 8
 #: The sharper signature that documents of unsettled keys get.
-SHARP_MINIMA, SHARP_BITS, SHARP_MARGIN = 2048, 1, 0.073
+SHARP_MINIMA, SHARP_BITS, SHARP_MARGIN = 2048, 2, 0.06
 #: Its first minima, which settle most pairs.
-QUICK_MINIMA, QUICK_MARGIN = 256, 0.21
+QUICK_MINIMA, QUICK_MARGIN = 256, 0.17
 LONGS = MINIMA * LOW_BITS // 64
 SKETCH = "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, bits array<long>"
 
@@ -168,7 +168,7 @@ def _of(texts: DataFrame, ids: DataFrame, make, schema: str, label: str) -> Data
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (u, v), those whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id"))
+    ids = pairs.select(F.col("u").alias("doc_id")).distinct().unionByName(pairs.select(F.col("v").alias("doc_id")).distinct())
     sets = _of(texts, ids, _sets, "doc_id long, items array<long>", "sets")
     u = sets.select(F.col("doc_id").alias("u"), F.col("items").alias("a"))
     v = sets.select(F.col("doc_id").alias("v"), F.col("items").alias("b"))
@@ -232,4 +232,4 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_near_duplicates(table(spark, sf_dir, "documents"))
+    return find_near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
