@@ -1,8 +1,8 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are its distinct hashed n-grams (of 3, 4 and 5 bytes, A-Z lower-cased). Each is scaled by the log
+A text's features are its distinct hashed n-grams (of 3 to 7 bytes, A-Z lower-cased). Each is scaled by the log
 of the ratio of its smoothed share among toxic and among other rows; a logistic model is fitted on the
-FEATURES scaled n-grams whose shares of rows differ most. Log-odds are moved from the fitted sample's class shares to those of all rows to learn from.
+FEATURES scaled n-grams whose shares of rows differ most, all significantly. Log-odds are moved from the fitted sample's class shares to those of all rows to learn from.
 
 Learned from labelled rows that are not held out, on at most FIT_ROWS rows, FIT_PER_CLASS of a class, whose texts have
 at most FIT_CHARS characters. All texts are scored whole, in their own tasks; only the weights are broadcast (4 bytes
@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 from .common import doc_rows, held_out, slices, small_batches, table
 from .ngrams import NGrams, bounded_sample
 
-ORDERS = 3, 4, 5
-BITS = 18
+ORDERS = 3, 4, 5, 6, 7
+BITS = 19
 FIT_PER_CLASS, FIT_ROWS, FIT_CHARS = 3000, 6000, 20_000
 THRESHOLD = 0.7
-FEATURES = 20_000
+#: Most features, and the least difference between the classes' shares, in standard errors.
+FEATURES, MIN_SPREAD = 20_000, 4.0
 SMOOTH, RIDGE, STEPS, RATE = 1.0, 1e-4, 150, 0.05
 
 
@@ -38,22 +39,25 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float | None = None) -> tupl
     if len(set(toxic.tolist())) < 2:
         return None
     size = 1 << BITS
-    found = []
-    for i in range(0, len(texts), 200):
-        found += [x.astype(np.int32) for x in NGrams(pa.array(texts[i : i + 200], pa.string()), ORDERS, BITS).distinct(BITS)]
+
+    def found():  # made twice, as all features of all rows take much more room than those used
+        for i in range(0, len(texts), 200):
+            yield from NGrams(pa.array(texts[i : i + 200], pa.string()), ORDERS, BITS).distinct(BITS)
+
     y = toxic.astype(np.float64)
     n_one, n_zero = y.sum(), len(y) - y.sum()
     one, zero = np.zeros(size), np.zeros(size)
-    for x, t in zip(found, toxic, strict=True):
+    for x, t in zip(found(), toxic, strict=True):
         (one if t else zero)[x] += 1
     ratio = np.log((one + SMOOTH) / (one + SMOOTH).sum()) - np.log((zero + SMOOTH) / (zero + SMOOTH).sum())
     # Features whose share of rows differs most between the classes, in standard errors; the others keep weight 0.
     spread = (one / n_one - zero / n_zero) / np.sqrt((one + zero + 1) / len(y) * (1 / n_one + 1 / n_zero))
-    used = np.sort(np.argsort(-np.abs(spread), kind="stable")[:FEATURES])
+    used = np.argsort(-np.abs(spread), kind="stable")[:FEATURES]
+    used = np.sort(used[np.abs(spread[used]) >= MIN_SPREAD])
     place = np.full(size, -1, dtype=np.int32)
     place[used] = np.arange(len(used))
     scale = ratio[used]
-    cols = [p[p >= 0] for p in (place[x] for x in found)]
+    cols = [p[p >= 0] for p in (place[x] for x in found())]
     row, col = np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols)
     w, b = np.full(len(used), 1e-3), 0.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
