@@ -122,8 +122,8 @@ def complete_tree(points: DataFrame, core: DataFrame, metric: Metric = "euclidea
     rows = points.join(core, "row_id")
     n = -(-rows.count() // block)
     dealt = rows.withColumn("b", F.pmod(F.xxhash64("row_id"), F.lit(max(1, n))).cast("int"))
-    # Each block goes to its pairs with every block; n blocks make n (n + 1) / 2 pairs.
-    others = F.transform(F.sequence(F.lit(0), F.lit(max(0, n - 1))), lambda o: F.struct(F.least("b", o).alias("x"), F.greatest("b", o).alias("y")))
+    # Each block goes to its pairs with the other blocks: n blocks make n (n - 1) / 2 pairs, which hold all edges.
+    others = F.transform(F.filter(F.sequence(F.lit(0), F.lit(max(0, n - 1))), lambda o: o != F.col("b")), lambda o: F.struct(F.least("b", o).alias("x"), F.greatest("b", o).alias("y")))
     paired = dealt.select("row_id", "features", "core", F.explode(others).alias("pair")) if n > 1 else dealt.select("row_id", "features", "core", F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")).alias("pair"))
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
