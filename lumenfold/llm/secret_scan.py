@@ -95,21 +95,21 @@ def find_secrets(docs: DataFrame, owner_col: str = "source", repo_cols: tuple[st
 
 def redact_secrets(docs: DataFrame, owner_col: str = "source", repo_cols: tuple[str, ...] = ("lang",), mark: str = REDACTED) -> DataFrame:
     """docs, all columns, with every reported span of text replaced by the mark; n_chars follows where it exists."""
-    spans = find_secrets(docs, owner_col, repo_cols).where(F.size("found") > 0).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), F.col("text_hash").alias("__hash"), F.col("found").alias("__spans"))
-    spans = written(spans.dropDuplicates(["__id", "__hash"]), "secret-redact")
+    spans = find_secrets(docs, owner_col, repo_cols).where(F.size("found") > 0).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__lumenfold_id"), F.col("text_hash").alias("__lumenfold_hash"), F.col("found").alias("__lumenfold_spans"))
+    spans = written(spans.dropDuplicates(["__lumenfold_id", "__lumenfold_hash"]), "secret-redact")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.join(spans, (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left")
+    out = docs.join(spans, (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("__lumenfold_id")) & (F.xxhash64(text) == F.col("__lumenfold_hash")), "left")
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], gap).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    fresh = F.when(F.col("__spans").isNotNull(), done).otherwise(F.col("text"))
+    done = F.aggregate("__lumenfold_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    fresh = F.when(F.col("__lumenfold_spans").isNotNull(), done).otherwise(F.col("text"))
     cols = {f.name: docs[f.name] for f in docs.schema} | {"text": fresh}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        cols["n_chars"] = F.when(F.col("__spans").isNotNull(), F.length(fresh).cast(kind)).otherwise(docs["n_chars"])
+        cols["n_chars"] = F.when(F.col("__lumenfold_spans").isNotNull(), F.length(fresh).cast(kind)).otherwise(docs["n_chars"])
     return out.select(*(c.alias(k) for k, c in cols.items()))
 
 
