@@ -21,6 +21,16 @@ def group_stats(df: DataFrame, group: str) -> DataFrame:
     return group_sizes(df, group).agg(F.count("*").alias("n_groups"), F.min("n").alias("min_rows"), F.max("n").alias("max_rows"), F.avg("n").alias("mean_rows"))
 
 
+def distinct_groups(df: DataFrame, group: str) -> DataFrame:
+    """n_groups: how many groups there are, exactly."""
+    return df.agg(F.countDistinct(group).alias("n_groups"))
+
+
+def by_time(df: DataFrame, time: str, row_id: str) -> DataFrame:
+    """The rows in order of time, ties by row_id, over range partitions."""
+    return df.orderBy(time, row_id)
+
+
 def _in_order(df: DataFrame, group: str, row_id: str, least: int = 1) -> DataFrame:
     """Groups of at least so many rows, with their place in order of first appearance. One row for each group."""
     firsts = df.groupBy(group).agg(F.min(row_id).alias("first"), F.count("*").alias("n")).where(F.col("n") >= least)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CLUSTER, CONDENSED, HIERARCHY
+from ..storage import written
 from .mst import Sets
 
 METHODS, PROFILES = ("eom", "leaf"), ("standard", "native")
@@ -339,3 +340,24 @@ def cluster_leaves(tree: DataFrame) -> DataFrame:
     """component, cluster of the clusters that no cluster is split from."""
     cluster_rows = tree.where("size > 1")
     return cluster_rows.select("component", F.col("child").alias("cluster")).join(cluster_rows.select("component", F.col("parent").alias("cluster")), ["component", "cluster"], "left_anti")
+
+
+def max_lambda(tree: DataFrame) -> DataFrame:
+    """component, cluster, lambda: the largest lambda of each cluster's rows."""
+    return tree.groupBy("component", F.col("parent").alias("cluster")).agg(F.max("lambda").alias("lambda"))
+
+
+def descendants(tree: DataFrame) -> DataFrame:
+    """component, cluster, below, depth: all clusters under each cluster, from the cluster rows of condensed trees.
+
+    Paths are doubled each round, so that rounds grow with the logarithm of the depth.
+    """
+    paths = written(tree.where("size > 1").select("component", F.col("parent").alias("cluster"), F.col("child").alias("below"), F.lit(1).cast("long").alias("depth")), "descendants")
+    reach, n = 1, paths.count()
+    while True:
+        more = paths.select("component", F.col("below").alias("cluster"), F.col("cluster").alias("top"), F.col("depth").alias("d")).where(F.col("d") <= reach)
+        longer = more.join(paths, ["component", "cluster"]).select("component", F.col("top").alias("cluster"), "below", (F.col("d") + F.col("depth")).alias("depth"))
+        paths = written(paths.unionByName(longer).distinct(), "descendants")
+        reach, before, n = 2 * reach, n, paths.count()
+        if n == before:
+            return paths

@@ -160,3 +160,10 @@ def mutual_reachability(neighbours: DataFrame, core: DataFrame, alpha: float = 1
 def undirected(edges: DataFrame) -> DataFrame:
     """Each pair once, u < v, with its least weight."""
     return edges.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("w").alias("w"))
+
+
+def compare_edges(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """n, missing, differing: how two edge tables (u, v, w) compare."""
+    both = a.select("u", "v", F.col("w").alias("wa")).join(b.select("u", "v", F.col("w").alias("wb")), ["u", "v"], "full")
+    absent = F.col("wa").isNull() | F.col("wb").isNull()
+    return both.agg(F.count("*").alias("n"), F.coalesce(F.sum(absent.cast("long")), F.lit(0)).alias("missing"), F.coalesce(F.sum((F.abs(F.col("wa") - F.col("wb")) > tolerance).cast("long")), F.lit(0)).alias("differing"))

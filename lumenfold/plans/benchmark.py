@@ -58,6 +58,17 @@ def run_batches(batches: Sequence[tuple[str, DataFrame]], algorithms: dict[str,
     return spark.createDataFrame(out, RESULT)
 
 
+def run_sizes(rows: DataFrame, sizes: Sequence[int], algorithms: dict[str, Callable[[DataFrame], DataFrame]], truth: str, id_col: str = "row_id", seconds: float | None = 300.0, most: dict[str, int] | None = None) -> DataFrame:
+    """RESULT rows for the rows of the smallest ids, at each size; `most` leaves an algorithm out beyond a size."""
+    out = None
+    for size in sizes:
+        able = {k: f for k, f in algorithms.items() if size <= (most or {}).get(k, size)}
+        batch = written(rows.orderBy(id_col).limit(size), "size")
+        got = run_batches([(str(size), batch)], able, truth, id_col, seconds) if able else None
+        out = got if out is None else out.unionByName(got) if got is not None else out
+    return out
+
+
 def means(results: DataFrame) -> DataFrame:
     """Of each algorithm: runs, completed, and mean seconds and scores over the completed runs."""
     done = ~F.col("timeout")

@@ -347,6 +347,16 @@ def stability_from_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.stability_table(written(_fit(spark, sf_dir).condensed, "catalog-condensed")).withColumn("stability", F.round("stability", 6))
 
 
+@_query()
+def cluster_max_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.max_lambda(_fit(spark, sf_dir).condensed).withColumn("lambda", F.round("lambda", 6))
+
+
+@_query()
+def cluster_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.descendants(written(_fit(spark, sf_dir).condensed, "catalog-condensed"))
+
+
 @_query()
 def membership_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = _fit(spark, sf_dir, store_centers="both")
@@ -384,6 +394,11 @@ def group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.group_stats(_table(spark, sf_dir, "events"), "user_id").withColumn("mean_rows", F.round("mean_rows", 6))
 
 
+@_query("SELECT count(DISTINCT user_id) AS n_groups FROM events")
+def distinct_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.distinct_groups(_table(spark, sf_dir, "events"), "user_id")
+
+
 @_query("""
 WITH g AS (SELECT user_id, min(event_id) AS first FROM events GROUP BY user_id HAVING count(*) >= 10 ORDER BY first LIMIT 10),
 r AS (SELECT e.*, row_number() OVER (PARTITION BY e.user_id ORDER BY ts, event_id) AS k FROM events e JOIN g ON e.user_id = g.user_id)

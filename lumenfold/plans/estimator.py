@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from numbers import Integral, Real
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scaling
+from ..functions.constraints import Interval, check, one_of
 from ..functions.distance import Metric, metric_name
 from ..operators import hierarchy as H
 from ..operators import knn as K
@@ -21,6 +23,23 @@ INFINITE, MISSING = -2, -3
 #: Smallest cluster of the native profile, whatever is asked for.
 NATIVE_FLOOR = 20
 
+CONSTRAINTS = {
+    "min_cluster_size": [Interval(Integral, 2, None)],
+    "min_samples": [Interval(Integral, 1, None), None],
+    "cluster_selection_epsilon": [Interval(Real, 0, None)],
+    "max_cluster_size": [Interval(Integral, 1, None), None],
+    "metric": [str, Integral, "callable"],
+    "p": [Interval(Real, 0, None, "neither")],
+    "weights": ["mapping", "array-like", None],
+    "alpha": [Interval(Real, 0, None, "neither")],
+    "cluster_selection_method": [one_of("eom", "leaf")],
+    "allow_single_cluster": ["boolean"],
+    "store_centers": [one_of("centroid", "medoid", "both"), None],
+    "profile": [one_of("standard", "native")],
+    "normalise": ["boolean", None],
+    "native_floor": [Interval(Integral, 1, None)],
+}
+
 
 @dataclass
 class Fitted:
@@ -60,12 +79,7 @@ class DensityGrouping:
 
     def __post_init__(self):
         metric_name(self.metric)
-        if self.min_samples is not None and self.min_samples < 1:
-            raise ValueError(f"min_samples: {self.min_samples}; 1 or more")
-        if self.alpha <= 0:
-            raise ValueError(f"alpha: {self.alpha}; more than 0")
-        if self.store_centers not in (None, "centroid", "medoid", "both"):
-            raise ValueError(f"store_centers: {self.store_centers!r}")
+        check(type(self).__name__, CONSTRAINTS, vars(self))
         self._selection()
 
     def _selection(self, epsilon: float | None = None) -> H.Selection:

@@ -1,5 +1,6 @@
 """Sources, batching, streams, distances and benchmark helpers."""
 
+import math
 import time
 
 import numpy as np
@@ -140,3 +141,47 @@ def test_benchmark(spark):
     assert benchmark.predicted_seconds([1, 2, 3], [1, 4, 9], 4) == pytest.approx(16)
     assert benchmark.predicted_seconds([1], [1], 4) is None
     assert benchmark.predicted_seconds([1, 2], [5, 1], 9) == 0
+
+
+def test_folder_parameters(spark, tmp_path):
+    from lumenfold.plans.parameters import estimate_folder
+
+    (tmp_path / "in").mkdir()
+    for name, gap in (("one", 1), ("two", 3)):
+        rows = [f"{g * 50 + i * gap},{g}" for g in range(3) for i in range(8)]
+        (tmp_path / "in" / f"{name}.csv").write_text("\n".join(["x,EmitterId", *rows]) + "\n")
+    got = {r.name: (r.min_samples, r.eps) for r in estimate_folder(spark, str(tmp_path / "in"), ["x"], 3).collect()}
+    assert set(got) == {"one", "two"} and all(k == 2 and e > 0 for k, e in got.values())
+    with pytest.raises(ValueError):
+        estimate_folder(spark, str(tmp_path / "in"), ["y"])
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lumenfold.__main__ import run
+
+    rows = [f"{g * 50 + i},{i % 3},{g}" for g in range(2) for i in range(25)]
+    (tmp_path / "a.csv").write_text("\n".join(["x,y,EmitterId", *rows]) + "\n")
+    labels = run(spark, ["--input", str(tmp_path / "a.csv"), "--dimensions", "2", "--minpts", "3", "--metric", "2", "--labelled", "--no-norm"])
+    assert labels.count() == 50 and labels.where("label >= 0").select("label").distinct().count() == 2
+    assert "ari" in capsys.readouterr().out
+
+
+def test_sizes(spark):
+    rows = spark.range(30).select(F.col("id").alias("row_id"), (F.col("id") % 3).cast("int").alias("true"))
+    same = {"a": lambda r: r.select("row_id", F.col("true").alias("label")), "b": lambda r: r.select("row_id", F.lit(-1).alias("label"))}
+    got = benchmark.run_sizes(rows, [6, 12], same, "true", most={"b": 6})
+    assert sorted((r.batch, r.algorithm, r.samples) for r in got.collect()) == [("12", "a", 12), ("6", "a", 6), ("6", "b", 6)]
+
+
+def test_constraints():
+    from numbers import Real
+
+    from lumenfold.functions import constraints as C
+
+    assert C.Interval(Real, 0, 1, "left").accepts(0) and not C.Interval(Real, 0, 1, "left").accepts(1) and not C.Interval(Real, 0, 1).accepts(True)
+    assert C.accepts("random state", 3) and not C.accepts("boolean", 1) and C.accepts(C.Methods(("append",)), []) and C.accepts("missing", math.nan)
+    C.check("x", {"a": [C.one_of("u", "v"), None]}, {"a": None, "b": 5})
+    with pytest.raises(C.ParameterError, match="'u', 'v' or None"):
+        C.check("x", {"a": [C.one_of("u", "v"), None]}, {"a": "w"})
+    with pytest.raises(ValueError):
+        C.Interval(Real, 1, 0)
