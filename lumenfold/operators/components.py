@@ -19,12 +19,12 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
     """Minima are written first: both sides of the join then come straight from an exchange, so that a hub is split."""
     if large:
         edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = written(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-low")
+    low = written(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-low", small=True)
     near = edges.join(low, "u")
     moved = near.where(F.col("v") > F.col("u") if large else F.lit(True)).select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         moved = moved.unionByName(low.select("u", F.col("m").alias("v")))
-    return written(moved.where("u <> v").distinct(), "star")
+    return written(moved.where("u <> v").distinct(), "star", small=True)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Loops, repeated and reversed edges are fine; no edges, no rows. The work of a step is linear in the edges, and
     the number of steps grows with the logarithm of the longest path.
     """
-    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
+    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star", small=True)
     while not _settled(now):
         now = _step(_step(now, True), False)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

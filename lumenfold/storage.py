@@ -22,9 +22,13 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/lumenfold/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: its lineage ends there, and it outlives executors."""
+def written(df: DataFrame, label: str, small: bool = False) -> DataFrame:
+    """Write a table in the shared folder and read it back: its lineage ends there, and it outlives executors.
+
+    A small one (ids, pairs) is written by two tasks a core at most, rather than in a file for each shuffle partition.
+    """
     spark = df.sparkSession
     path = shared_path(spark, label)
+    df = df.coalesce(2 * spark.sparkContext.defaultParallelism) if small else df
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
