@@ -25,10 +25,10 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, small: bool = False) -> DataFrame:
     """Write a table in the shared folder and read it back."""
     small_batches(df.sparkSession)
-    return storage.written(df, label)
+    return storage.written(df, label, small)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

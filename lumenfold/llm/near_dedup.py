@@ -174,7 +174,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     v = sets.select(F.col("doc_id").alias("v"), F.col("items").alias("b"))
     least, of = SIMILARITY
     close = F.size(F.array_intersect("a", "b")) * F.lit(least + of) >= (F.size("a") + F.size("b")) * F.lit(least)
-    return written(pairs.join(u, "u").join(v, "v").where(close).select("u", "v"), "links")
+    return written(pairs.join(u, "u").join(v, "v").where(close).select("u", "v"), "links", small=True)
 
 
 def find_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -195,17 +195,17 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
     members = written(banded.select("doc_id", "key").join(lead.hint("shuffle_hash"), "key"), "members")
 
     tested = members.select(F.explode(F.array_compact(F.array("low", "pick"))).alias("p"), "doc_id").where("p <> doc_id")
-    tested = written(tested.select(F.least("p", "doc_id").alias("u"), F.greatest("p", "doc_id").alias("v")).distinct(), "pairs")
+    tested = written(tested.select(F.least("p", "doc_id").alias("u"), F.greatest("p", "doc_id").alias("v")).distinct(), "pairs", small=True)
     a = bits.select(F.col("doc_id").alias("u"), F.col("bits").alias("a"))
     b = bits.select(F.col("doc_id").alias("v"), F.col("bits").alias("b"))
     near = tested.join(a, "u").join(b, "v").where(_likely(F.col("a"), F.col("b"), MARGIN)).select("u", "v")
-    links = _confirmed(written(near, "near"), texts)
+    links = _confirmed(written(near, "near", small=True), texts)
 
     # Keys whose members are in several components: the pairs across them, by a sharper estimate.
-    found = written(connected_components(links), "components")
+    found = written(connected_components(links), "components", small=True)
     placed = written(members.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "placed")
     open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.mode("component").alias("main")).where("x < y")
-    open_keys = written(open_keys.select("key", "main"), "open")
+    open_keys = written(open_keys.select("key", "main"), "open", small=True)
     left = written(placed.join(open_keys.hint("shuffle_hash"), "key").withColumn("main", F.col("component") == F.col("main")), "unsettled")
     sharp = _of(texts, left.select("doc_id"), _sharp, "doc_id long, sharp array<long>", "sharp")
     left = written(left.join(written(sharp.join(classes.select("doc_id", "bands"), "doc_id"), "sharp"), "doc_id"), "rest")
@@ -215,9 +215,9 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
     across &= _likely(F.col("a.sharp"), F.col("b.sharp"), QUICK_MARGIN, QUICK_MINIMA, SHARP_BITS)
     rest = a.join(b, across & _likely(F.col("a.sharp"), F.col("b.sharp"), SHARP_MARGIN, SHARP_MINIMA, SHARP_BITS) & _first_shared("a", "b"))
     rest = rest.select(F.least("a.doc_id", "b.doc_id").alias("u"), F.greatest("a.doc_id", "b.doc_id").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
-    more = _confirmed(written(rest, "near"), texts)
+    more = _confirmed(written(rest, "near", small=True), texts)
     if not more.isEmpty():
-        found = written(connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
+        found = written(connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components", small=True)
     classed = written(reps.join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("class_component")), "classed")
     out = rows.select("doc_id", "text_hash", "n_shingles", "digest").join(classed, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
@@ -226,9 +226,9 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs, all columns, with one document of each component."""
-    gone = written(find_near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "dropped")
+    gone = written(find_near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__lumenfold_id"), F.col("text_hash").alias("__lumenfold_hash")).distinct(), "dropped", small=True)
     hashed = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("__id")) & (hashed == F.col("__hash")), "left_anti")
+    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("__lumenfold_id")) & (hashed == F.col("__lumenfold_hash")), "left_anti")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
