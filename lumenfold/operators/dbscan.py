@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import distance
 from ..storage import written
-from .components import connected_components
 from .knn import core_distances, knn
+from .mst import components
 
 MAX_DIM = 4
 
@@ -46,7 +46,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     cu = core.where("is_core").select(F.col("row_id").alias("u"))
     cv = core.where("is_core").select(F.col("row_id").alias("v"))
     linked = written(pairs.join(cu, "u").join(cv, "v").select("u", "v"), "core-links")
-    found = connected_components(linked)
+    found = components(linked)
     placed = core.join(found.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("component", F.when(F.col("is_core"), F.coalesce("component", "row_id")))
     placed = written(placed, "core-components")
     near = both.join(placed.where("is_core").select(F.col("row_id").alias("v"), "component"), "v").groupBy(F.col("u").alias("row_id")).agg(F.min(F.struct("dist", "v", "component"))["component"].alias("near"))

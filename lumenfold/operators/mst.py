@@ -62,6 +62,22 @@ def _each_part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield kruskal(held)
 
 
+def _components(pdf: pd.DataFrame) -> pd.DataFrame:
+    ids, ends = np.unique(pdf[["u", "v"]].to_numpy().ravel(), return_inverse=True)
+    sets = Sets(len(ids))
+    for a, b in ends.reshape(-1, 2).tolist():
+        sets.join(a, b)
+    return pd.DataFrame({"node": ids, "component": ids[[sets.find(i) for i in range(len(ids))]]}, dtype="int64")
+
+
+def components(edges: DataFrame, most: int = EDGES) -> DataFrame:
+    """node, component: by one task up to `most` edges, by star steps over the cluster beyond."""
+    pairs = edges.select("u", "v")
+    if pairs.count() > most:
+        return connected_components(pairs)
+    return pairs.groupBy().applyInPandas(_components, "node bigint, component bigint")
+
+
 def spanning_forest(edges: DataFrame, most: int = EDGES) -> DataFrame:
     """u, v, w of the minimum spanning forest of edges (u, v, w)."""
     now = written(edges.where("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("w").alias("w")), "edges")
@@ -85,7 +101,7 @@ def boruvka(edges: DataFrame) -> DataFrame:
         cheapest = ends.groupBy("c").agg(F.min(F.struct("w", "u", "v")).alias("e")).select("e.u", "e.v", "e.w").distinct()
         cheapest = written(cheapest, "boruvka-tree")
         tree = cheapest if tree is None else written(tree.unionByName(cheapest), "boruvka-tree")
-        placed = written(connected_components(tree.select("u", "v")), "boruvka-components")
+        placed = written(components(tree), "boruvka-components")
         for end in ("u", "v"):
             now = now.join(placed.select(F.col("node").alias(end), F.col("component").alias(f"n{end}")), end, "left")
         now = written(now.select("u", "v", "w", F.coalesce("nu", "u").alias("cu"), F.coalesce("nv", "v").alias("cv")).where("cu <> cv"), "boruvka")
@@ -142,7 +158,7 @@ def verify_forest(edges: DataFrame, forest: DataFrame) -> bool:
 
 def forest_components(forest: DataFrame) -> DataFrame:
     """component (its smallest node), u, v, w."""
-    placed = connected_components(forest.select("u", "v"))
+    placed = components(forest)
     return forest.join(placed.withColumnRenamed("node", "u"), "u").select("component", "u", "v", "w")
 
 

@@ -25,10 +25,12 @@ def shared_path(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str, small: bool = False) -> DataFrame:
     """Write a table in the shared folder and read it back: its lineage ends there, and it outlives executors.
 
-    A small one (ids, pairs) is written by two tasks a core at most, rather than in a file for each shuffle partition.
+    A small one (ids, pairs) is written by two tasks a core, or one for each four shuffle partitions where these are many,
+    rather than in a file for each shuffle partition.
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df = df.coalesce(2 * spark.sparkContext.defaultParallelism) if small else df
+    if small:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
