@@ -15,7 +15,10 @@ def shared_root(spark: SparkSession) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    # With its file system named, executors' own readers and writers find the same place as Spark's.
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
