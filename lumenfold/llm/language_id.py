@@ -31,7 +31,12 @@ FIT_PER_LANG, FIT_ROWS, FIT_CHARS = 1000, 8000, 20_000
 MAX_LANGS = 250
 SMOOTH = 0.5
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Looks no further than the first letter; numbers such as fractions look like words but are no letters."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
 
 
 def fit(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray] | None:
@@ -57,7 +62,7 @@ def predict(texts: pa.Array, model: tuple[list[str], np.ndarray] | None) -> tupl
     names, matrix = model
     g = NGrams(texts, ORDERS, BITS)
     for i, text in enumerate(texts):
-        if text.is_valid and _LETTER.search(text.as_py()):
+        if text.is_valid and has_letter(text.as_py()):
             n = np.bincount(g.of(i), minlength=1 << BITS)
             at = np.flatnonzero(n)
             z = n[at].astype(np.float64) @ matrix[at].astype(np.float64)

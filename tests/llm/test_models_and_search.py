@@ -64,11 +64,11 @@ def test_language_on_held_out_rows(spark):
     r = random.Random(2)
     vocab = {k: ["".join(r.choice(a) for _ in range(4)) for _ in range(100)] for k, a in {"aa": "abcdeést", "bb": "bcdouêxy", "cc": "äöünmklo"}.items()}
     rows = [(i, " ".join(r.choice(vocab[k]) for _ in range(15)), k) for i, k in ((i, "aabbcc"[2 * (i % 3) : 2 * (i % 3) + 2]) for i in range(300))]
-    rows += [(1000, None, "aa"), (1001, "12 34 ...", "bb"), (1002, "", None), (None, rows[0][1], None), (1003, rows[1][1] * 500, None)]
+    rows += [(1000, None, "aa"), (1001, "12 34 ...", "bb"), (1002, "", None), (1004, "½ ² Ⅷ _", "aa"), (None, rows[0][1], None), (1003, rows[1][1] * 500, None)]
     got = language_id.identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     assert len(got) == len(rows) and all(0 <= x.score <= 1 for x in got)
     by = {x.doc_id: x.lang_pred for x in got}
-    assert by[1000] == by[1001] == by[1002] == "und" and by[None] == "aa" and by[1003] == "bb"
+    assert by[1000] == by[1001] == by[1002] == by[1004] == "und" and by[None] == "aa" and by[1003] == "bb"
     held = [x for x in got if x.held_out and x.doc_id < 300]
     assert np.mean([x.lang_pred == dict((i, k) for i, _, k in rows)[x.doc_id] for x in held]) > 0.97
     none = language_id.identify_language(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).first()
