@@ -4,7 +4,11 @@ A text is cut into sentences, these are normalised (A-Z lower-cased, runs of oth
 made one space, outer dots dropped) and looked up among known licence sentences. The identifiers found, in the order of
 the text, are matched against licence rules: sequences of identifiers, of which the rule listed first wins where
 several begin at the same place, and whose matches don't overlap. A text is cut at ends of sentences and lines, and once
-more at ends of sentences only, for sentences that run over lines; the cut that recognises more sentences counts.
+more at ends of sentences only, for sentences that run over lines; the cut that recognises more sentences counts. A known
+sentence that itself holds ends of sentences (SPDX lines, GPL grants) is recognised where all its parts follow each other.
+
+The SQL is kept as given. It takes the longest part of such a sentence for the whole, and the first sentence that has
+it, so that it differs from the scan on texts that hold such parts.
 
 A null text is empty and has no sentence. Rows that repeat get a row each. A null doc_id is scanned like any other.
 Texts of any length are scanned whole, each within its row, so that no key can be hot. An empty table gives an empty result.
@@ -94,13 +98,27 @@ def _normal(text: str) -> str:
     return re.sub(EDGE, "", re.sub(JUNK, " ", text.translate(str.maketrans(UPPER, LOWER))))
 
 
+def _parts(sentence: str) -> list[str]:
+    return [p for p in map(_normal, re.split(CUTS[1], sentence)) if p]
+
+
+def sentences() -> dict[str, str]:
+    """Identifier by sentence, all parts of it, normalised and joined by a space."""
+    return {" ".join(_parts(s)): ident for ident, known in SENTENCES.items() for s in known}
+
+
+def sentence_pattern() -> str:
+    """All sentences as one pattern over a marked text, longer ones first."""
+    found = {" ".join(p): "[ E]".join(map(re.escape, p)).replace("\\ ", " ") for known in SENTENCES.values() for p in map(_parts, known)}
+    return "(?<=E)(?:" + "|".join(found[s] for s in sorted(found, key=len, reverse=True)) + ")(?=E)"
+
+
 def known() -> dict[str, str]:
-    """Identifier by normalised sentence; sentences that hold an end of sentence are known by their parts, the first of which has the identifier."""
+    """What the SQL looks up: identifier by the longest part of a sentence."""
     out: dict[str, str] = {}
     for ident, sentences in SENTENCES.items():
         for s in sentences:
-            parts = [p for p in map(_normal, re.split(CUTS[1], s)) if p]
-            out.setdefault(max(parts, key=len) if len(parts) > 1 else parts[0], ident)
+            out.setdefault(max(_parts(s), key=len), ident)
     return out
 
 
@@ -109,10 +127,15 @@ def rule_pattern() -> str:
     return "|".join("".join(f";{i}" for i in ids) + "(?=;)" for _, ids in RULES)
 
 
+def _marked(text: Column, cut: str) -> Column:
+    """The normalised text with an E, which it has no other of, at either end and in place of each cut."""
+    text = F.concat(F.lit("E"), F.regexp_replace(F.translate(text, UPPER, LOWER), cut, "E"), F.lit("E"))
+    return F.regexp_replace(F.regexp_replace(text, "[^a-z0-9.+E]+", " "), "(?<![ .])[ .]*+E[ .E]*+", "E")
+
+
 def _identified(text: Column, cut: str) -> Column:
-    ids = F.create_map(*(F.lit(x) for pair in known().items() for x in pair))
-    normal = lambda s: F.regexp_replace(F.regexp_replace(F.translate(s, UPPER, LOWER), JUNK, " "), EDGE, "")
-    return F.filter(F.transform(F.split(text, cut, -1), lambda s: F.try_element_at(ids, normal(s))), lambda i: i.isNotNull())
+    ids = F.create_map(*(F.lit(x) for pair in sentences().items() for x in pair))
+    return F.transform(F.regexp_extract_all(_marked(text, cut), F.lit(sentence_pattern()), F.lit(0)), lambda s: F.try_element_at(ids, F.translate(s, "E", " ")))
 
 
 def find_licenses(docs: DataFrame) -> DataFrame:

@@ -246,3 +246,12 @@ def test_licenses(spark, docs, empty):
     assert got == {1: (3, 1, "MIT"), 2: (1, 1, "CC-BY-NC-4.0"), 3: (1, 1, "MIT"), 4: (0, 0, ""), 5: (0, 0, ""), 6: (4, 4, "Apache-2.0,MIT"), None: (1, 0, "")}
     assert {r.doc_id: r.licenses for r in licenses.find_licenses(docs).collect()}[5] == "MIT"
     assert licenses.find_licenses(empty).count() == 0
+
+
+def test_each_license_sentence_is_its_own(spark):
+    rules = {ids[0]: name for name, ids in licenses.RULES if len(ids) == 1}
+    known = [(ident, s) for ident, x in licenses.SENTENCES.items() for s in x]
+    texts = [f"# Some text.\n# {s}\n# More" for _, s in known] + [s for _, s in known]
+    texts += ["SPDX-License-Identifier: Other", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 9"]
+    got = {r.doc_id: (r.n_sentences, r.licenses) for r in licenses.find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [(1, rules.get(ident, "")) for ident, _ in known] * 2 + [(0, "")] * 2
