@@ -3,12 +3,13 @@
 A text is cut into sentences, these are normalised (A-Z lower-cased, runs of other than letters, digits, dots and pluses
 made one space, outer dots dropped) and looked up among known licence sentences. The identifiers found, in the order of
 the text, are matched against licence rules: sequences of identifiers, of which the rule listed first wins where
-several begin at the same place, and whose matches don't overlap. A text is cut at ends of sentences and lines, and once
-more at ends of sentences only, for sentences that run over lines; the cut that recognises more sentences counts. A known
-sentence that itself holds ends of sentences (SPDX lines, GPL grants) is recognised where all its parts follow each other.
+several begin at the same place, and whose matches don't overlap. A sentence begins and ends at ends of sentences or
+lines, and may run over lines, all in one scan of the text. A known sentence that itself holds ends of sentences (SPDX
+lines, GPL grants) is recognised where all its parts follow each other.
 
 The SQL is kept as given. It takes the longest part of such a sentence for the whole, and the first sentence that has
-it, so that it differs from the scan on texts that hold such parts.
+it; and it cuts a text at ends of sentences and lines or at ends of sentences only, whichever recognises more, where
+the scan finds what either does. So the two differ on texts that hold such parts, or both wrapped sentences and titles.
 
 A null text is empty and has no sentence. Rows that repeat get a row each. A null doc_id is scanned like any other.
 Texts of any length are scanned whole, each within its row, so that no key can be hot. An empty table gives an empty result.
@@ -88,7 +89,7 @@ RULES = [
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 JUNK, EDGE = r"[^a-z0-9.+]+", r"^[ .]+|[ .]+$"
-#: Ends of sentences; the first also ends one at a line's end.
+#: Ends of sentences; the first, which only the SQL uses, also ends one at a line's end.
 CUTS = r"[.!?;:]+[ \t\r\n]+|[\r\n]+", r"[.!?;:]+[ \t\r\n]+"
 #: Only texts that hold one of these are looked at further: every known sentence has one.
 HINT = r"(?i)licen|permission|notice|warrant|redistribut|software|law|hope"
@@ -109,8 +110,8 @@ def sentences() -> dict[str, str]:
 
 def sentence_pattern() -> str:
     """All sentences as one pattern over a marked text, longer ones first."""
-    found = {" ".join(p): "[ E]".join(map(re.escape, p)).replace("\\ ", " ") for known in SENTENCES.values() for p in map(_parts, known)}
-    return "(?<=E)(?:" + "|".join(found[s] for s in sorted(found, key=len, reverse=True)) + ")(?=E)"
+    found = {" ".join(p): "[ EL]".join(map(re.escape, p)).replace("\\ ", "[ L]") for known in SENTENCES.values() for p in map(_parts, known)}
+    return "(?<=[EL])(?:" + "|".join(found[s] for s in sorted(found, key=len, reverse=True)) + ")(?=[EL])"
 
 
 def known() -> dict[str, str]:
@@ -127,25 +128,23 @@ def rule_pattern() -> str:
     return "|".join("".join(f";{i}" for i in ids) + "(?=;)" for _, ids in RULES)
 
 
-def _marked(text: Column, cut: str) -> Column:
-    """The normalised text with an E, which it has no other of, at either end and in place of each cut."""
-    text = F.concat(F.lit("E"), F.regexp_replace(F.translate(text, UPPER, LOWER), cut, "E"), F.lit("E"))
-    return F.regexp_replace(F.regexp_replace(text, "[^a-z0-9.+E]+", " "), "(?<![ .])[ .]*+E[ .E]*+", "E")
+def _marked(text: Column) -> Column:
+    """The normalised text with an E for each end of a sentence and at either end, and an L for each other end of a line."""
+    text = F.regexp_replace(F.regexp_replace(F.translate(text, UPPER, LOWER), CUTS[1], "E"), r"[\r\n]+", "L")
+    text = F.regexp_replace(F.concat(F.lit("E"), text, F.lit("E")), "[^a-z0-9.+EL]+", " ")
+    return F.regexp_replace(F.regexp_replace(text, "(?<![ .L])[ .L]*+E[ .LE]*+", "E"), "(?<![ .])[ .]*+L[ .L]*+", "L")
 
 
-def _identified(text: Column, cut: str) -> Column:
+def _identified(text: Column) -> Column:
     ids = F.create_map(*(F.lit(x) for pair in sentences().items() for x in pair))
-    return F.transform(F.regexp_extract_all(_marked(text, cut), F.lit(sentence_pattern()), F.lit(0)), lambda s: F.try_element_at(ids, F.translate(s, "E", " ")))
+    return F.transform(F.regexp_extract_all(_marked(text), F.lit(sentence_pattern()), F.lit(0)), lambda s: F.try_element_at(ids, F.translate(s, "EL", "  ")))
 
 
 def find_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences (known ones), n_matches, licenses (sorted, distinct, joined by a comma), rules (matched identifiers, in order)."""
     rows = doc_rows(docs)
     text = F.col("text")
-    a, b = (_identified(text, c) for c in CUTS)
-    none = F.array().cast("array<string>")
-    rows = rows.select("doc_id", F.when(text.rlike(HINT), F.array(a, b)).otherwise(F.array(none, none)).alias("both"))
-    ids = F.when(F.size(F.col("both")[1]) > F.size(F.col("both")[0]), F.col("both")[1]).otherwise(F.col("both")[0])
+    ids = F.when(text.rlike(HINT), _identified(text)).otherwise(F.array().cast("array<string>"))
     rows = rows.select("doc_id", ids.alias("ids")).withColumn("line", F.concat(F.lit(";"), F.array_join("ids", ";"), F.lit(";")))
     rows = rows.withColumn("found", F.regexp_extract_all("line", F.lit(rule_pattern()), F.lit(0)))
     names = F.create_map(*(F.lit(x) for pair in {"".join(f";{i}" for i in ids): name for name, ids in RULES}.items() for x in pair))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -255,3 +256,15 @@ def test_each_license_sentence_is_its_own(spark):
     texts += ["SPDX-License-Identifier: Other", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 9"]
     got = {r.doc_id: (r.n_sentences, r.licenses) for r in licenses.find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == [(1, rules.get(ident, "")) for ident, _ in known] * 2 + [(0, "")] * 2
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_wrapped_license_files(spark, end):
+    x = {k: v[0] for k, v in licenses.SENTENCES.items()}
+    mit = ["MIT License", "Copyright (c) 2020 Jane Doe", x["mit_grant"] + ":", x["mit_notice"] + ".", x["as_is_software"] + "."]
+    bsd = ["Copyright (c) 2020, Jane Doe", x["bsd_grant"] + ":", "1. " + x["bsd_source"] + ".", "2. " + x["bsd_binary"] + ".", "3. " + x["bsd_endorse"] + "."]
+    gpl = ["foo.c - does things", x["gpl2_grant"] + ".", "; ".join(licenses.SENTENCES["gpl_hope"])]
+    wrap = lambda paragraphs, gap, start="": "\n".join(start + line for line in gap.join(textwrap.fill(p, 72) for p in paragraphs).split("\n")).replace("\n", end)
+    texts = [wrap(mit, "\n\n"), wrap(mit, "\n"), wrap(mit, "\n\n", " * "), wrap(bsd, "\n\n"), wrap(gpl, "\n\n", "# "), wrap([*mit, "SPDX-License-Identifier: Apache-2.0"], "\n\n")]
+    got = {r.doc_id: (r.n_sentences, r.n_matches, r.licenses) for r in licenses.find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [(4, 1, "MIT")] * 3 + [(4, 1, "BSD-3-Clause"), (3, 1, "GPL-2.0"), (5, 2, "Apache-2.0,MIT")]
