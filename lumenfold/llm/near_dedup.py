@@ -1,12 +1,12 @@
 """Near-duplicates by b-bit MinHash.
 
 A document's set is its distinct shingles of five words (A-Z lower-cased, split at white space). Documents with equal
-sets form a class, which its smallest doc_id stands for. A class has MINIMA minima under as many hash functions;
+sets form a class, which goes by a number of its own until components are named. A class has MINIMA minima under as many hash functions;
 BANDS keys of ROWS minima each find candidates, and the LOW_BITS low bits of each minimum, packed in longs, estimate
 the similarity of a pair by counting equal groups of bits and correcting for those equal by chance. Pairs whose
 estimate reaches the threshold less MARGIN are confirmed on the full sets.
 
-Candidates are taken in two steps. First every member of a key is tested against the smallest id under it and, in
+Candidates are taken in two steps. First every member of a key is tested against the smallest number under it and, in
 PICK_BANDS bands, against a member picked by hash: this is linear in the members, and joins large groups of near copies
 without expanding them. Then, under keys whose members are in several components, all pairs across components are
 compared by a signature of SHARP_MINIMA minima (within the join, which returns each pair once, if it may be similar enough)
@@ -15,7 +15,8 @@ the threshold shares a key with probability 1 - (1 - 0.75^5)^48, that is all but
 short by chance (5 standard errors) more rarely still. Shingles are compared by 64-bit hashes.
 
 Fewer than five words make one shingle. A text that is null, empty or all white space has an empty set and is linked
-with nothing. Rows are documents by themselves, also where they share a doc_id: identical ones get identical rows.
+with nothing. Rows are documents by themselves, also where they share a doc_id: identical ones get identical rows. A
+component goes by its smallest doc_id, whose rows in it are kept; texts under one doc_id can be in different components.
 A null doc_id is not linked, has a null component_id and is kept. An empty table gives an empty result.
 """
 
@@ -160,16 +161,17 @@ def _first_shared(a: str, b: str) -> Column:
     return ~F.arrays_overlap(before(a), before(b))
 
 
-def _of(texts: DataFrame, ids: DataFrame, make, schema: str, label: str) -> DataFrame:
-    """What `make` gives for the documents of some ids; only their texts are moved."""
-    ids = ids.select(F.col("doc_id").alias("id")).distinct().hint("shuffle_hash")
-    return written(texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(make, schema), label)
+def _of(texts: DataFrame, reps: DataFrame, ids: DataFrame, make, schema: str, label: str) -> DataFrame:
+    """What `make` gives for the classes of some numbers; only the texts that stand for them are moved."""
+    wanted = reps.join(ids.select(F.col("doc_id").alias("node")).distinct(), "node", "left_semi").select("node", "rep", "rep_hash").hint("shuffle_hash")
+    found = texts.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select(F.col("node").alias("doc_id"), "text")
+    return written(found.mapInArrow(make, schema), label)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
     """Of pairs (u, v), those whose full sets are similar enough."""
     ids = pairs.select(F.col("u").alias("doc_id")).distinct().unionByName(pairs.select(F.col("v").alias("doc_id")).distinct())
-    sets = _of(texts, ids, _sets, "doc_id long, items array<long>", "sets")
+    sets = _of(texts, reps, ids, _sets, "doc_id long, items array<long>", "sets")
     u = sets.select(F.col("doc_id").alias("u"), F.col("items").alias("a"))
     v = sets.select(F.col("doc_id").alias("v"), F.col("items").alias("b"))
     least, of = SIMILARITY
@@ -181,9 +183,12 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_hash of each row of docs."""
     texts = doc_rows(docs).withColumn("text_hash", F.xxhash64("text"))
     rows = written(texts.select("doc_id", "text_hash", "text").mapInArrow(_sketch, SKETCH), "sketch")
-    reps = written(rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("text_hash", "doc_id").alias("rep_hash"))
+    reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # From here to the naming of components, doc_id is the number of a class: rows of unlike texts may share a doc_id.
+    standing = (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))
     classes = written(
-        rows.select("doc_id", "digest", "bands", "bits").join(reps.select(F.col("digest").alias("d"), "rep").hint("shuffle_hash"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")), "left_semi").select("doc_id", "bands", "bits"),
+        rows.select("doc_id", "text_hash", "digest", "bands", "bits").join(reps.select(F.col("digest").alias("d"), "rep", "rep_hash", "node").hint("shuffle_hash"), standing).select(F.col("node").alias("doc_id"), "bands", "bits"),
         "signatures",
     )
     bits = classes.select("doc_id", "bits")
@@ -199,7 +204,7 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
     a = bits.select(F.col("doc_id").alias("u"), F.col("bits").alias("a"))
     b = bits.select(F.col("doc_id").alias("v"), F.col("bits").alias("b"))
     near = tested.join(a, "u").join(b, "v").where(_likely(F.col("a"), F.col("b"), MARGIN)).select("u", "v")
-    links = _confirmed(written(near, "near", small=True), texts)
+    links = _confirmed(written(near, "near", small=True), texts, reps)
 
     # Keys whose members are in several components: the pairs across them, by a sharper estimate.
     found = written(connected_components(links), "components", small=True)
@@ -207,7 +212,7 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
     open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.mode("component").alias("main")).where("x < y")
     open_keys = written(open_keys.select("key", "main"), "open", small=True)
     left = written(placed.join(open_keys.hint("shuffle_hash"), "key").withColumn("main", F.col("component") == F.col("main")), "unsettled")
-    sharp = _of(texts, left.select("doc_id"), _sharp, "doc_id long, sharp array<long>", "sharp")
+    sharp = _of(texts, reps, left.select("doc_id"), _sharp, "doc_id long, sharp array<long>", "sharp")
     left = written(left.join(written(sharp.join(classes.select("doc_id", "bands"), "doc_id"), "sharp"), "doc_id"), "rest")
     # A key's most frequent component isn't joined with itself, row by row; the others meet all rows of the key.
     a, b = left.where(~F.col("main")).alias("a"), left.alias("b")
@@ -215,10 +220,12 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
     across &= _likely(F.col("a.sharp"), F.col("b.sharp"), QUICK_MARGIN, QUICK_MINIMA, SHARP_BITS)
     rest = a.join(b, across & _likely(F.col("a.sharp"), F.col("b.sharp"), SHARP_MARGIN, SHARP_MINIMA, SHARP_BITS) & _first_shared("a", "b"))
     rest = rest.select(F.least("a.doc_id", "b.doc_id").alias("u"), F.greatest("a.doc_id", "b.doc_id").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
-    more = _confirmed(written(rest, "near", small=True), texts)
+    more = _confirmed(written(rest, "near", small=True), texts, reps)
     if not more.isEmpty():
         found = written(connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components", small=True)
-    classed = written(reps.join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("class_component")), "classed")
+    low = written(found.join(reps.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("low")), "named", small=True)
+    named = found.join(low, "component").select("node", "low")
+    classed = written(reps.join(named, "node", "left").select("digest", F.coalesce("low", "rep").alias("class_component")), "classed")
     out = rows.select("doc_id", "text_hash", "n_shingles", "digest").join(classed, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")

@@ -132,6 +132,18 @@ def test_near_duplicates(spark):
     assert near_dedup.find_near_duplicates(d.limit(0)).count() == 0
 
 
+def test_near_duplicates_under_one_doc_id(spark):
+    r = random.Random(9)
+    a, b, c, d, e = (prose(60, r) for _ in range(5))
+    rows = [(3, a + " x"), (5, a), (5, b), (5, c), (7, c + " x"), (7, b + " y"), (2, b), (8, d), (8, e), (9, e + " z"), (8, e), (1, e + " w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {x.text: x.h for x in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    got = {(x.doc_id, x.text_hash): (x.component_id, x.kept) for x in near_dedup.find_near_duplicates(docs).collect()}
+    want = [(3, True), (3, False), (2, False), (5, True), (5, False), (2, False), (2, True), (8, True), (1, False), (1, False), (1, False), (1, True)]
+    assert [got[i, hashes[t]] for i, t in rows] == want
+    assert sorted(map(tuple, near_dedup.drop_near_duplicates(docs).collect())) == sorted(row for row, (_, kept) in zip(rows, want) if kept)
+
+
 def test_estimate(spark):
     r = np.random.default_rng(3)
     for share in (0.5, 0.75, 0.9):
