@@ -5,7 +5,8 @@ of a benchmark item; an item with fewer, but at least one, is one window. The wi
 document's windows are looked up among them, and every hit is confirmed on the words themselves.
 
 The hash set is broadcast only up to BROADCAST_BYTES of item text. A larger benchmark is dealt into parts of at most
-that size, one pass over the documents for each; what a pass has found travels with the row to the next.
+that size, one pass over the documents for each; what a pass has found travels with the row to the next, and spans are
+cut after the last.
 
 A null text has no words, on either side. A null item_id marks words as hit but adds no item. Items that repeat count
 once by id. A null doc_id is scanned like any other, and rows that repeat get a row each. An empty benchmark hits
@@ -27,6 +28,8 @@ from .textscan import ALNUM, Words
 
 WINDOW = 10
 OUTPUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+#: The column in which hit words travel from pass to pass.
+HITS = "__lumenfold_hits"
 Index = dict[int, tuple[np.ndarray, dict[int, dict[bytes, tuple[str, ...]]]]]
 
 
@@ -119,12 +122,37 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         rows = written(rows.mapInArrow(_pass(index, False), state), "decontaminate")
 
 
+def _merged(hit: np.ndarray, before: bytes | None) -> np.ndarray:
+    """Hit words of a text, with those of the passes before."""
+    return hit if before is None else hit | np.unpackbits(np.frombuffer(before, np.uint8), count=len(hit)).astype(bool)
+
+
+def _marker(index, text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the hit words of a part to HITS; texts stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                w = Words(part.column(text_col), ALNUM)
+                hit, _ = scan(w, index.value)
+                hits = [_merged(hit[w.first[i] : w.first[i + 1]], x) for i, x in enumerate(part.column(HITS).to_pylist())]
+                k = part.schema.get_field_index(HITS)
+                yield part.set_column(k, part.schema.field(k), pa.array([np.packbits(x).tobytes() if x.any() else None for x in hits], part.schema.field(k).type))
+
+    return run
+
+
 def _cleaner(index, spans: bool, text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
                 w = Words(part.column(text_col), ALNUM)
                 hit, _ = scan(w, index.value)
+                k = part.schema.get_field_index(HITS)
+                if k >= 0:
+                    for i, x in enumerate(part.column(k).to_pylist()):
+                        hit[w.first[i] : w.first[i + 1]] = _merged(hit[w.first[i] : w.first[i + 1]], x)
+                    part = part.remove_column(k)
                 touched = [bool(hit[a:b].any()) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
                 if spans and any(touched):
                     texts = part.column(text_col).to_pylist()
@@ -156,8 +184,12 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, remove: str = "d
     now = next(parts)
     while True:
         index = docs.sparkSession.sparkContext.broadcast(window_index(now, window))
-        docs = docs.mapInArrow(_cleaner(index, remove == "spans", text_col), docs.schema)
         now = next(parts, None)
+        if now is not None and remove == "spans":
+            docs = docs if HITS in docs.columns else docs.withColumn(HITS, F.lit(None).cast("binary"))
+            docs = docs.mapInArrow(_marker(index, text_col), docs.schema)
+        else:
+            docs = docs.mapInArrow(_cleaner(index, remove == "spans", text_col), docs.drop(HITS).schema)
         if now is None:
             return docs
         docs = written(docs, "decontaminate")

@@ -184,6 +184,17 @@ def test_decontamination(spark, empty, most):
     assert decontaminate.find_contamination(d, b.limit(0)).where("contaminated").count() == 0
 
 
+def test_spans_are_cut_once_after_all_parts(spark):
+    w = [f"v{i}" for i in range(40)]
+    items = [(i, " ".join(w[i : i + 12])) for i in range(0, 26, 3)] + [(99, "left right")]
+    docs = [(1, "left " + " ".join(w) + " right"), (2, "a " + " ".join(w[:16]) + ", b"), (3, None), (4, "nothing"), (5, "so left, right!"), (None, "")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = ({r.doc_id: r.text for r in decontaminate.remove_contamination(d, b, "spans", max_bytes=n).select("doc_id", "text").collect()} for n in (decontaminate.BROADCAST_BYTES, 3000))
+    assert len(list(decontaminate._benchmark_parts(b, 3000))) > 1
+    assert one == many == {1: "left  " + " ".join(w[36:]) + " right", 2: "a , b", 3: None, 4: "nothing", 5: "so !", None: ""}
+    assert decontaminate.remove_contamination(d, b, "spans", max_bytes=3000).columns == d.columns
+
+
 # --- secrets
 
 
