@@ -5,7 +5,9 @@ which is broadcast (4 bytes for each of 2^BITS buckets and language; MAX_LANGS l
 are multiplied with its rows, whole texts in batches, and the priors are taken alike.
 
 Learned from text and non-null lang of rows that are not held out: at most FIT_PER_LANG rows of a language and FIT_ROWS
-in all, of at most FIT_CHARS characters each. More than MAX_LANGS languages raise an error rather than lose some.
+in all, of at most FIT_CHARS characters each. A language whose texts are all longer is learned from about FIT_LONG of
+them, read whole, whose n-grams are counted on the executors. More than MAX_LANGS languages raise an error rather than
+lose some.
 
 A text that is null or has no letter is `und` with score 0, and so is every text where nothing could be learned.
 Equal scores go to the language first in sorted order. Rows that repeat get a row each; a null doc_id is predicted and
@@ -19,15 +21,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_rows, held_out, slices, table
+from .common import doc_rows, held_out, slices, small_batches, table
 from .ngrams import NGrams, bounded_sample
 
 ORDERS = 1, 2, 3, 4
 BITS = 16
 FIT_PER_LANG, FIT_ROWS, FIT_CHARS = 1000, 8000, 20_000
+FIT_LONG = 20
 MAX_LANGS = 250
 SMOOTH = 0.5
 UNKNOWN = "und"
@@ -39,9 +43,9 @@ def has_letter(text: str) -> bool:
     return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
 
 
-def fit(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray] | None:
-    """Languages and the matrix of log-probabilities, a row for each bucket."""
-    names = sorted(set(langs))
+def fit(texts: list[str], langs: list[str], counted: pa.Table | None = None) -> tuple[list[str], np.ndarray] | None:
+    """Languages and the matrix of log-probabilities, a row for each bucket; `counted` has lang, bucket, n of further texts."""
+    names = sorted({*langs, *(counted.column("lang").unique().to_pylist() if counted else ())})
     if not names:
         return None
     counts = np.zeros((1 << BITS, len(names)))
@@ -50,6 +54,9 @@ def fit(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray] | No
         for j, lang in enumerate(langs[i : i + 200]):
             x, n = np.unique(g.of(j), return_counts=True)
             counts[x, names.index(lang)] += n
+    if counted:
+        column = pc.index_in(counted.column("lang"), pa.array(names, pa.string()))
+        np.add.at(counts, (counted.column("bucket").to_numpy(), column.to_numpy()), counted.column("n").to_numpy())
     counts += SMOOTH
     return names, np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
@@ -71,6 +78,25 @@ def predict(texts: pa.Array, model: tuple[list[str], np.ndarray] | None) -> tupl
     return langs, score
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
+            x, n = np.unique(NGrams(pa.array([text.as_py()], pa.string()), ORDERS, BITS).of(0), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(x), pa.string()), pa.array(x, pa.int32()), pa.array(n, pa.int64())], ["lang", "bucket", "n"])
+
+
+def _sampled(texts: DataFrame, sample: DataFrame) -> DataFrame:
+    return texts.join(F.broadcast(sample.distinct()), (texts["doc_id"] == sample["doc_id"]) & (F.col("lang") == F.col("y")), "left_semi")
+
+
+def _count_long(texts: DataFrame, known: DataFrame, short: list[str]) -> pa.Table:
+    """lang, bucket, n of a few whole texts of each language that has none of FIT_CHARS or fewer."""
+    small_batches(texts.sparkSession)
+    sample, _ = bounded_sample(known.where(~F.col("y").isin(short)).select("doc_id", "y"), "y", FIT_LONG, FIT_LONG * MAX_LANGS)
+    counted = _sampled(texts.where(F.length("text") > FIT_CHARS), sample).select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long")
+    return counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+
+
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray] | None:
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("y"), F.length(F.col("text").cast("string")).alias("n"))
     known = known.where("y is not null and n > 0 and doc_id is not null").where(~held_out(F.col("doc_id")))
@@ -78,12 +104,13 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray] | None:
     if n_langs > MAX_LANGS:
         raise ValueError(f"{n_langs} languages; MAX_LANGS is {MAX_LANGS}")
     sample, counts = bounded_sample(known.where(F.col("n") <= FIT_CHARS).select("doc_id", "y"), "y", FIT_PER_LANG, FIT_ROWS)
-    if not counts:
+    if not n_langs:
         return None
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = texts.where(F.length("text") <= FIT_CHARS).join(F.broadcast(sample.distinct()), (texts["doc_id"] == sample["doc_id"]) & (F.col("lang") == F.col("y")), "left_semi")
+    counted = _count_long(texts, known, list(counts)) if len(counts) < n_langs else None
+    rows = _sampled(texts.where(F.length("text") <= FIT_CHARS), sample)
     got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(FIT_ROWS).select("text", "lang").toArrow()
-    return fit(got.column("text").to_pylist(), got.column("lang").to_pylist())
+    return fit(got.column("text").to_pylist(), got.column("lang").to_pylist(), counted)
 
 
 def _predictor(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

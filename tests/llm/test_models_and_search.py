@@ -75,6 +75,15 @@ def test_language_on_held_out_rows(spark):
     assert (none.lang_pred, none.score) == ("und", 0.0)
 
 
+@pytest.mark.parametrize("langs", ["ab", "b"])
+def test_language_of_long_texts_only(spark, langs):
+    r = random.Random(4)
+    say = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(i, say("aeiou", 20), "a") for i in range(30) if "a" in langs] + [(100 + i, say("bcdfg", 4000), "b") for i in range(9)] + [(200, say("bcdfg", 20), None)]
+    got = language_id.identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert [x.lang_pred for x in sorted(got, key=lambda x: x.doc_id)] == [y or "b" for _, _, y in rows]
+
+
 # --- near-duplicates
 
 
