@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -35,11 +36,20 @@ def linear(df: DataFrame, columns: Sequence[str], matrix: Sequence[Sequence[floa
     return df.withColumns(made)
 
 
-def jitter(df: DataFrame, deviations: Mapping[str, float], seed: int = 42, not_negative: Sequence[str] = ("PW(microsec)",)) -> DataFrame:
-    """Gaussian noise on columns; where a column that can't be negative would become so, it stays as it was."""
+def _normal(seed: int, keys: Sequence[str]) -> Column:
+    """Standard normal noise that depends on the row's keys alone, from two uniform numbers of its hash."""
+    uniform = lambda i: (F.pmod(F.xxhash64(F.lit(seed), F.lit(i), *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(2))
+
+
+def jitter(df: DataFrame, deviations: Mapping[str, float], seed: int = 42, not_negative: Sequence[str] = ("PW(microsec)",), row_id: Sequence[str] = ()) -> DataFrame:
+    """Gaussian noise on columns; where a column that can't be negative would become so, it stays as it was.
+
+    With row_id, columns that tell rows apart, the noise is the same however the table is partitioned.
+    """
     if unknown := set(deviations) - set(df.columns):
         raise ValueError(f"columns: {sorted(unknown)}")
-    noisy = {c: F.col(c) + F.lit(float(sd)) * F.randn(seed + i) for i, (c, sd) in enumerate(deviations.items())}
+    noisy = {c: F.col(c) + F.lit(float(sd)) * (_normal(seed + i, row_id) if row_id else F.randn(seed + i)) for i, (c, sd) in enumerate(deviations.items())}
     return df.withColumns({f"__{c}": x for c, x in noisy.items()}).withColumns({c: F.when(F.col(f"__{c}") < 0, F.col(c)).otherwise(F.col(f"__{c}")) if c in not_negative else F.col(f"__{c}") for c in noisy}).select(*df.columns)
 
 

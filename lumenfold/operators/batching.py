@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,10 +32,11 @@ def by_time(df: DataFrame, time: str, row_id: str) -> DataFrame:
     return df.orderBy(time, row_id)
 
 
-def _in_order(df: DataFrame, group: str, row_id: str, least: int = 1) -> DataFrame:
-    """Groups of at least so many rows, with their place in order of first appearance. One row for each group."""
+def _in_order(df: DataFrame, group: str, row_id: str, most: int, least: int = 1) -> DataFrame:
+    """The first `most` groups, by first appearance, of those with at least `least` rows, with their place from 1 on."""
     firsts = df.groupBy(group).agg(F.min(row_id).alias("first"), F.count("*").alias("n")).where(F.col("n") >= least)
-    return firsts.withColumn("place", F.row_number().over(Window.orderBy("first")))
+    firsts = firsts.orderBy("first").limit(most)
+    return written(firsts.withColumn("place", F.row_number().over(Window.orderBy("first"))).select(group, "place"), "groups", small=True)  # `most` rows
 
 
 def fixed_sample(df: DataFrame, n_groups: int, most: int, group: str, time: str, row_id: str) -> DataFrame:
@@ -45,20 +47,20 @@ def fixed_sample(df: DataFrame, n_groups: int, most: int, group: str, time: str,
     per = most // n_groups
     if per < 1:
         raise ValueError(f"{most} rows of {n_groups} groups: less than one each")
-    chosen = written(_in_order(df, group, row_id, per).where(F.col("place") <= n_groups).select(group), "groups")
+    chosen = _in_order(df, group, row_id, n_groups, per)
     if (found := chosen.count()) < n_groups:
         raise ValueError(f"{found} groups have {per} rows; {n_groups} are asked for")
-    rows = df.join(F.broadcast(chosen), group, "left_semi")  # n_groups rows
+    rows = df.join(chosen.select(group), group, "left_semi")
     return rows.withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy(time, row_id))).where(F.col("__rank") <= per).drop("__rank")
 
 
 def first_groups(df: DataFrame, sizes: Sequence[int], group: str, row_id: str) -> DataFrame:
     """The rows of the first N groups, for each N of sizes, with N in column `batch`; batches overlap."""
-    places = written(_in_order(df, group, row_id).select(group, "place"), "groups")
+    places = _in_order(df, group, row_id, max(sizes))
     if max(sizes) > (found := places.count()):
         raise ValueError(f"{found} groups; {max(sizes)} are asked for")
-    top = places.where(F.col("place") <= max(sizes)).withColumn("batch", F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda n: n >= F.col("place"))))
-    return df.join(F.broadcast(top.select(group, "batch")), group)  # at most sum(sizes) rows
+    top = places.withColumn("batch", F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda n: n >= F.col("place"))))
+    return df.join(top.select(group, "batch"), group)
 
 
 BATCHES = "batch bigint, start_time double, end_time double, n bigint"
@@ -69,7 +71,7 @@ def greedy_batches(df: DataFrame, group: str, time: str, interval: float = 2.0)
     after the anchor begins the next. An interval of 0 or less means 2.
 
     Where a batch ends depends on where it began, so the rows of a group are folded in order. They come sorted and in
-    batches of rows; a task holds a few sums for its group, not the group.
+    batches of rows; a task holds a few sums for its group, not the group, and looks up each batch's end in the sorted times.
     """
     interval = interval if interval > 0 else 2.0
     kind = df.schema[group].dataType
@@ -81,16 +83,23 @@ def greedy_batches(df: DataFrame, group: str, time: str, interval: float = 2.0)
         key, state = None, None  # state: batch, start, end, n
         for pdf in frames:
             out = []
-            for g, t in zip(pdf[group], pdf["t"], strict=True):
-                if state is None or g != key:
+            g, t = pdf[group].to_numpy(), pdf["t"].to_numpy()
+            codes = pd.factorize(pdf[group], use_na_sentinel=False)[0]
+            for i, j in zip(cuts := [0, *np.flatnonzero(np.diff(codes)) + 1], [*cuts[1:], len(t)], strict=True):
+                if i == j:
+                    continue
+                if state is None or not (g[i] == key or pd.isna(g[i]) and pd.isna(key)):
                     if state:
                         out.append((key, *state))
-                    key, state = g, [0, t, t, 1]
-                elif t > state[1] + interval:
+                    key, state = g[i], [0, t[i], t[i], 0]
+                while True:  # a step for each batch, not for each row
+                    end = i + int(np.searchsorted(t[i:j], state[1] + interval, side="right"))
+                    if end > i:
+                        state[2], state[3] = t[end - 1], state[3] + end - i
+                    if end == j:
+                        break
                     out.append((key, *state))
-                    state = [state[0] + 1, t, t, 1]
-                else:
-                    state[2], state[3] = t, state[3] + 1
+                    state, i = [state[0] + 1, t[end], t[end], 0], end
             yield pd.DataFrame(out, columns=[group, "batch", "start_time", "end_time", "n"])
         if state:
             yield pd.DataFrame([(key, *state)], columns=[group, "batch", "start_time", "end_time", "n"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import release, written
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -24,7 +24,9 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
     moved = near.where(F.col("v") > F.col("u") if large else F.lit(True)).select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         moved = moved.unionByName(low.select("u", F.col("m").alias("v")))
-    return written(moved.where("u <> v").distinct(), "star", small=True)
+    out = written(moved.where("u <> v").distinct(), "star", small=True)
+    release(low)
+    return out
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -35,5 +37,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star", small=True)
     while not _settled(now):
-        now = _step(_step(now, True), False)
+        large = _step(now, True)
+        small = _step(large, False)
+        release(now, large)
+        now = small
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -22,11 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CLUSTER, CONDENSED, HIERARCHY
-from ..storage import written
+from ..storage import ranked, release, written
 from .mst import Sets
 
 METHODS, PROFILES = ("eom", "leaf"), ("standard", "native")
-SELECTED = "component bigint, row_id bigint, cluster bigint, probability double"
 
 
 @dataclass(frozen=True)
@@ -127,14 +126,15 @@ def condense(t: Tree, min_size: int, profile: str) -> list[tuple[int, int, float
 
 
 class Clusters:
-    """Clusters of one condensed tree."""
+    """Clusters of one condensed tree, whose root is the smallest cluster number; children below it are points."""
 
-    def __init__(self, rows: list[tuple[int, int, float, int]], n: int, profile: str):
-        self.rows, self.root, self.profile = rows, n, profile
-        self.children: dict[int, list[int]] = {n: []}
-        self.birth, self.size, self.up = {n: 0.0}, {n: n}, {}
+    def __init__(self, rows: list[tuple[int, int, float, int]], root: int, profile: str):
+        self.rows, self.root, self.profile = rows, root, profile
+        self.children: dict[int, list[int]] = {root: []}
+        self.birth, self.up = {root: 0.0}, {}
+        self.size = {root: sum(1 for _, child, _, _ in rows if child < root)}
         for parent, child, lam, size in rows:
-            if child >= n:
+            if child >= root:
                 self.children.setdefault(parent, []).append(child)
                 self.children.setdefault(child, [])
                 self.birth[child], self.size[child], self.up[child] = lam, size, parent
@@ -227,78 +227,75 @@ class Clusters:
         return out
 
 
-def _grouped(forest: DataFrame, make, schema: str) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        component = int(pdf["component"].iloc[0])
-        rows = make(linkage(pdf["u"].to_numpy(), pdf["v"].to_numpy(), pdf["w"].to_numpy()))
-        names = [x.split(" ")[0] for x in schema.split(", ")]
-        return pd.DataFrame([(component, *r) for r in rows], columns=names)
-
-    return forest.groupBy("component").applyInPandas(run, schema)
-
-
 def _outer(t: Tree, first: int, x: int) -> int:
     """Id of a point, or of an internal node or cluster."""
     n = len(t.ids)
     return int(t.ids[x]) if x < n else first + x - n
 
 
-def hierarchy(forest: DataFrame, first: int) -> DataFrame:
-    """Merge tree of each component (component, u, v, w): a row for each merge."""
-
-    def make(t: Tree):
-        n, m = len(t.ids), len(t.left)
-        up = np.full(n + m, -1, dtype=np.int64)
-        up[t.left] = up[t.right] = np.arange(n, n + m)
-        for i in range(m):
-            parent = up[n + i]
-            yield first + i, _outer(t, first, t.left[i]), _outer(t, first, t.right[i]), t.dist[i], int(t.size[n + i]), None if parent < 0 else first + int(parent) - n
-
-    return _grouped(forest, make, HIERARCHY)
-
-
-def condensed(forest: DataFrame, first: int, selection: Selection = Selection()) -> DataFrame:
-    """Condensed tree of each component: component, parent, child, lambda, size."""
+#: Merges and condensed rows in one table: kind 0 has node, left, right, dist, size, parent; kind 1 parent, child, lambda, size.
+_TREE = "kind int, component bigint, a bigint, b bigint, c bigint, x double, size bigint, up bigint"
+#: Clusters and points in one table: kind 0 has cluster, stability, size, children, selected; kind 1 point, cluster, probability.
+_CHOSEN = "kind int, component bigint, a bigint, b bigint, x double, size bigint, children array<bigint>, selected boolean"
 
-    def make(t: Tree):
-        for parent, child, lam, size in condense(t, selection.min_cluster_size, selection.profile):
-            yield _outer(t, first, parent), _outer(t, first, child), lam, size
 
-    return _grouped(forest, make, CONDENSED)
+def _named(schema: str) -> list[str]:
+    return [x.split(" ")[0] for x in schema.split(", ")]
 
 
-def clusters(forest: DataFrame, first: int, selection: Selection = Selection()) -> DataFrame:
-    """Clusters of each component with stability, size, children and whether they are selected."""
+def merge_trees(forest: DataFrame, first: int, selection: Selection = Selection()) -> tuple[DataFrame, DataFrame]:
+    """The merge tree of each component (component, u, v, w), a row for each merge, and its condensed tree.
 
-    def make(t: Tree):
-        tree = Clusters(condense(t, selection.min_cluster_size, selection.profile), len(t.ids), selection.profile)
-        chosen = tree.select(selection)
-        for c in sorted(tree.children):
-            yield _outer(t, first, c), tree.stability[c], tree.size[c], [_outer(t, first, x) for x in tree.children[c]], c in chosen
-
-    return _grouped(forest, make, CLUSTER)
-
-
-def selected(forest: DataFrame, first: int, selection: Selection = Selection()) -> DataFrame:
-    """component, row_id, cluster (null: noise), probability of every point that has an edge."""
-
-    def make(t: Tree):
-        tree = Clusters(condense(t, selection.min_cluster_size, selection.profile), len(t.ids), selection.profile)
-        for x, c, strength in tree.labelled(tree.select(selection), selection):
-            yield int(t.ids[x]), None if c is None else _outer(t, first, c), strength
+    Both come from one pass over the edges, which is written.
+    """
+    columns = _named(_TREE)
 
-    def typed(pdf: pd.DataFrame) -> pd.DataFrame:
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
         component = int(pdf["component"].iloc[0])
-        rows = [(component, *r) for r in make(linkage(pdf["u"].to_numpy(), pdf["v"].to_numpy(), pdf["w"].to_numpy()))]
-        return pd.DataFrame(rows, columns=["component", "row_id", "cluster", "probability"]).astype({"cluster": "Int64"})
+        t = linkage(pdf["u"].to_numpy(), pdf["v"].to_numpy(), pdf["w"].to_numpy())
+        n, m = len(t.ids), len(t.left)
+        up = np.full(n + m, -1, dtype=np.int64)
+        up[t.left] = up[t.right] = np.arange(n, n + m)
+        outer = np.concatenate([t.ids, first + np.arange(m)])
+        above = pd.array(first + up[n:] - n, dtype="Int64")
+        above[up[n:] < 0] = pd.NA
+        merges = pd.DataFrame({"kind": 0, "component": component, "a": outer[n:], "b": outer[t.left], "c": outer[t.right], "x": t.dist, "size": t.size[n:], "up": above})
+        rows = condense(t, selection.min_cluster_size, selection.profile)
+        parent, child, lam, size = (np.array(c) for c in zip(*rows, strict=True)) if rows else (np.empty(0, np.int64),) * 4
+        # Clusters are numbered like nodes, from the root on.
+        condensed = pd.DataFrame({"kind": 1, "component": component, "a": first + parent - n, "b": np.where(child < n, outer[np.minimum(child, n - 1)], first + child - n), "c": 0, "x": lam, "size": size})
+        condensed["up"] = pd.array([pd.NA] * len(condensed), dtype="Int64")
+        return pd.concat([merges, condensed], ignore_index=True)[columns]
+
+    made = written(forest.groupBy("component").applyInPandas(make, _TREE), "merge-trees")
+    hierarchy = made.where("kind = 0").select("component", F.col("a").alias("node"), F.col("b").alias("left"), F.col("c").alias("right"), F.col("x").alias("dist"), "size", F.col("up").alias("parent"))
+    condensed = made.where("kind = 1").select("component", F.col("a").alias("parent"), F.col("b").alias("child"), F.col("x").alias("lambda"), "size")
+    return hierarchy.select(*_named(HIERARCHY)), condensed.select(*_named(CONDENSED))
+
+
+def choose(condensed: DataFrame, first: int, selection: Selection = Selection()) -> tuple[DataFrame, DataFrame]:
+    """From condensed trees: the clusters with stability, size, children and whether they are selected; and component, row_id,
+    cluster (null: noise), probability of every point in them. Both come from one pass, which is written."""
+
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        component = int(pdf["component"].iloc[0])
+        pdf = pdf.sort_values(["parent", "child"], kind="stable")
+        rows = list(zip(pdf["parent"].tolist(), pdf["child"].tolist(), pdf["lambda"].tolist(), pdf["size"].tolist(), strict=True))
+        tree = Clusters(rows, first, selection.profile)
+        chosen = tree.select(selection)
+        kept = [(0, component, c, None, tree.stability[c], tree.size[c], tree.children[c], c in chosen) for c in sorted(tree.children)]
+        kept += [(1, component, x, c, strength, None, None, None) for x, c, strength in tree.labelled(chosen, selection)]
+        return pd.DataFrame(kept, columns=_named(_CHOSEN)).astype({"b": "Int64", "size": "Int64", "selected": "boolean"})
 
-    return forest.groupBy("component").applyInPandas(typed, SELECTED)
+    made = written(condensed.groupBy("component").applyInPandas(make, _CHOSEN), "chosen")
+    clusters = made.where("kind = 0").select("component", F.col("a").alias("cluster"), F.col("x").alias("stability"), "size", "children", "selected")
+    points = made.where("kind = 1").select("component", F.col("a").alias("row_id"), F.col("b").alias("cluster"), F.col("x").alias("probability"))
+    return clusters.select(*_named(CLUSTER)), points
 
 
 def labels(points: DataFrame, chosen: DataFrame) -> DataFrame:
     """row_id, label (0 on, in order of component and cluster; noise -1), probability of every point."""
-    numbered = chosen.where("cluster is not null").select("component", "cluster").distinct()
-    numbered = numbered.withColumn("label", (F.row_number().over(Window.orderBy("component", "cluster")) - 1).cast("int"))  # one row for each cluster
+    numbered = ranked(chosen.where("cluster is not null").select("component", "cluster").distinct(), ["component", "cluster"], "label").withColumn("label", F.col("label").cast("int"))
     placed = chosen.join(numbered, ["component", "cluster"], "left").select("row_id", "label", "probability")
     return points.select("row_id").join(placed, "row_id", "left").select("row_id", F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce("probability", F.lit(0.0)).alias("probability"))
 
@@ -312,7 +309,7 @@ def auto_epsilon(tree: DataFrame) -> float | None:
     """
     born = tree.where("size > 1").select("lambda", "child")
     counts = born.groupBy("lambda").agg(F.count("*").alias("n"))
-    w = Window.orderBy("lambda")  # one row for each distinct lambda of a cluster
+    w = Window.orderBy("lambda")  # one row for each distinct lambda of a cluster: min_cluster_size times fewer than points
     rows = counts.withColumn("n", F.sum("n").over(w)).withColumn("d1", F.col("n") - F.lag("n").over(w))
     rows = rows.withColumn("d2", F.col("d1") - F.lag("d1").over(w)).withColumn("i", F.row_number().over(w)).withColumn("total", F.count("*").over(Window.partitionBy()))
     rows = rows.withColumn("steep", F.max(F.when(F.abs("d2") > 0.1, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)))
@@ -357,7 +354,8 @@ def descendants(tree: DataFrame) -> DataFrame:
     while True:
         more = paths.select("component", F.col("below").alias("cluster"), F.col("cluster").alias("top"), F.col("depth").alias("d")).where(F.col("d") <= reach)
         longer = more.join(paths, ["component", "cluster"]).select("component", F.col("top").alias("cluster"), "below", (F.col("d") + F.col("depth")).alias("depth"))
-        paths = written(paths.unionByName(longer).distinct(), "descendants")
+        old, paths = paths, written(paths.unionByName(longer).distinct(), "descendants")
+        release(old)
         reach, before, n = 2 * reach, n, paths.count()
         if n == before:
             return paths

@@ -1,13 +1,15 @@
 """Exact k nearest neighbours, core distances and mutual reachability.
 
-Points are dealt into cells of a k-d partition of a bounded sample, large cells into parts of bounded size. Each part
-finds neighbours among its own points, which bounds the k-th distance; a point then goes only to the parts whose
-bounding box could hold something nearer. No pair of points leaves a task but those among the k nearest there.
+Points are dealt into cells of a k-d partition of a bounded sample, and each large cell into parts by medians of its own.
+Each part finds neighbours among its own points, which bounds the k-th distance; a point then goes only to the parts
+whose bounding box, and whose ball around the mean, could hold something nearer. No pair of points leaves a task but
+those among the k nearest there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,18 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import Metric, block_distance, box_bound, metric_name
+from ..functions.distance import Metric, ball_bound, block_distance, box_bound, boxes_bound, metric_name
 from ..schema import KNN
-from ..storage import written
+from ..storage import spread, written
 
-#: Points of a part, at which a cell is split further; most cells; points sampled to place the cells.
-PART, CELLS, SAMPLE = 2048, 4096, 16_384
+#: Points of a part; most cells; points sampled to place the cells; points of a cell that one task splits.
+PART, CELLS, SAMPLE, SPLIT = 2048, 4096, 16_384, 1 << 20
+#: Bytes of all parts' boxes, which are broadcast: with more points or dimensions, parts become larger.
+BOX_BYTES = 64 << 20
 #: Distances held at once.
-CHUNK = 1 << 22
-FOUND = "u bigint, v bigint, dist double"
+CHUNK = 1 << 18
 
 
-def _tree(x: np.ndarray, cells: int) -> list | int:
+def _tree(x: np.ndarray, cells: int) -> list | None:
     """Nested (axis, value, low, high) splits at medians; a leaf is None."""
     if cells <= 1 or len(x) < 2:
         return None
@@ -48,20 +51,101 @@ def _cell(tree, x: np.ndarray, out: np.ndarray, rows: np.ndarray, at: int = 0) -
     return _cell(high, x, out, rows[~left], _cell(low, x, out, rows[left], at))
 
 
+def matrix(column) -> np.ndarray:
+    """A features column as a matrix."""
+    return np.array(list(column), dtype=float).reshape(len(column), -1)
+
+
 def _to_cells(tree) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column("features").to_pylist(), dtype=float).reshape(batch.num_rows, -1)
             out = np.zeros(batch.num_rows, dtype=np.int64)
             if batch.num_rows:
-                _cell(tree.value, x, out, np.arange(batch.num_rows))
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("features"), pa.array(out)], ["row_id", "features", "cell"])
+                _cell(tree.value, matrix(batch.column("features").to_pylist()), out, np.arange(batch.num_rows))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "cell"])
 
     return run
 
 
+def _halved(x: np.ndarray, rows: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Rows dealt at the medians of their widest component until each share has `size` at most; equal points in turn."""
+    if len(rows) <= size:
+        yield rows
+        return
+    own = x[rows]
+    by = np.argsort(own[:, int(np.argmax(own.max(axis=0) - own.min(axis=0)))], kind="stable")
+    yield from _halved(x, rows[by[: len(by) // 2]], size)
+    yield from _halved(x, rows[by[len(by) // 2 :]], size)
+
+
+def parted(points: DataFrame, part: int = PART) -> DataFrame:
+    """points (row_id, features, ...) with a column `part`: parts hold `part` points at most (more only where all boxes would
+    take more than BOX_BYTES), near each other where they differ."""
+    n, dim = points.agg(F.count("*"), F.coalesce(F.max(F.size("features")), F.lit(1))).first()
+    part = max(part, -(-n * 24 * dim // BOX_BYTES))
+    if n <= part:
+        return points.withColumn("part", F.lit("0"))
+    sample = points.orderBy(F.xxhash64("row_id"), "row_id").limit(SAMPLE).select("features").toArrow()
+    tree = points.sparkSession.sparkContext.broadcast(_tree(matrix(sample.column("features").to_pylist()), min(CELLS, -(-n // part))))
+    names = points.columns
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
+    cells = written(points.mapInArrow(_to_cells(tree), f"{fields}, cell bigint"), "cells")
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > part).withColumn("shares", F.ceil(F.col("n") / SPLIT))
+    sizes = F.broadcast(sizes)  # CELLS rows at most
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row_id", ignore_index=True)
+        at = np.empty(len(pdf), dtype=object)
+        for i, rows in enumerate(_halved(matrix(pdf["features"]), np.arange(len(pdf)), part)):
+            at[rows] = f"{pdf['part'].iloc[0]}-{i}"
+        return pdf.assign(part=at)
+
+    cells = cells.join(sizes, "cell", "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64("row_id"), "shares"), F.lit(0)))
+    small = cells.where("n is null").withColumn("part", F.col("cell").cast("string")).select(*names, "part")
+    large = cells.where("n is not null").withColumn("part", F.concat_ws("/", "cell", "share")).select(*names, "part")
+    return small.unionByName(large.groupBy("part").applyInPandas(split, f"{fields}, part string"))
+
+
+@dataclass
+class Boxes:
+    """What is known of each part without its points: bounds of its box, its mean and the farthest distance from it."""
+
+    names: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    centre: np.ndarray
+    radius: np.ndarray
+    metric: Metric
+    p: float
+    weights: Sequence[float] | None
+
+    def bound(self, x: np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """For each point and part, a distance that no point of the part undercuts."""
+        box = box_bound(x, self.low[at], self.high[at], self.metric, self.p, self.weights)
+        return np.maximum(box, ball_bound(x, self.centre[at], self.radius[at], self.metric, self.p, self.weights))
+
+    def apart(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """For a box and each part, a distance that no two points undercut."""
+        return boxes_bound(low, high, self.low, self.high, self.metric, self.p, self.weights)
+
+
+def boxes(dealt: DataFrame, metric: Metric = "euclidean", p: float = 2.0, weights: Sequence[float] | None = None) -> Boxes:
+    """Of all parts; some 3 vectors for each `PART` points, BOX_BYTES at most, come to the driver."""
+    plain = metric if isinstance(metric, str) and metric in ("manhattan", "euclidean", "chebyshev", "minkowski", "seuclidean") else "euclidean"
+
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = matrix(pdf["features"])
+        centre = x.mean(axis=0)
+        far = float(block_distance(x, centre[None, :], plain, p, weights if plain == metric else None).max())
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "low": [x.min(axis=0)], "high": [x.max(axis=0)], "centre": [centre], "radius": [far]})
+
+    got = dealt.select("part", "features").groupBy("part").applyInPandas(summary, "part string, low array<double>, high array<double>, centre array<double>, radius double").orderBy("part").toArrow()
+    cols = [matrix(got.column(c).to_pylist()) for c in ("low", "high", "centre")]
+    return Boxes(np.array(got.column("part").to_pylist(), dtype=object), *cols, np.array(got.column("radius").to_pylist(), dtype=float), metric, p, weights)
+
+
 def nearest(ids: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, k: int, metric: Metric, p: float, weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(u, v, dist) of the k nearest of `ids` for each of `own`, ties to the smaller id; a point isn't its own neighbour."""
+    """(row of own, v, dist) of the k nearest of `ids` for each of `own`, ties to the smaller id; a point isn't its own neighbour."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     step, parts = max(1, CHUNK // max(1, len(ids))), []
@@ -74,28 +158,27 @@ def nearest(ids: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, k: i
         dist = d[r, c]
         by = np.lexsort((c, dist, r))
         r, c, dist = r[by], c[by], dist[by]
-        rank = np.arange(len(r)) - np.searchsorted(r, r)
-        ok = rank < k
-        parts.append((own[i : i + step][r[ok]], ids[c[ok]], dist[ok]))
-    return tuple(np.concatenate(a) for a in zip(*parts, strict=True)) if parts else (own[:0], ids[:0], np.empty(0))
+        ok = np.arange(len(r)) - np.searchsorted(r, r) < k
+        parts.append((i + r[ok], ids[c[ok]], dist[ok]))
+    return tuple(np.concatenate(a) for a in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64), ids[:0], np.empty(0))
 
 
-def parted(points: DataFrame, part: int = PART) -> DataFrame:
-    """row_id, features, part: every part holds about `part` points at most, near each other where they differ."""
-    n = points.count()
-    sample = points.orderBy(F.xxhash64("row_id"), "row_id").limit(SAMPLE).select("features").collect()
-    size = max(part, n // CELLS)
-    x = np.array([r.features for r in sample], dtype=float) if sample else np.empty((0, 1))
-    tree = points.sparkSession.sparkContext.broadcast(_tree(x, -(-n // size)) if len(x) else None)
-    cells = written(points.select("row_id", "features").mapInArrow(_to_cells(tree), "row_id bigint, features array<double>, cell bigint"), "cells")
-    # Cells that many equal points fill are dealt by id.
-    big = {r.cell: -(-r.n // size) for r in cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 2 * size).collect()}
-    parts = F.create_map(*(F.lit(v) for kv in big.items() for v in kv)) if big else None
-    share = F.pmod(F.xxhash64("row_id"), F.coalesce(F.try_element_at(parts, F.col("cell")), F.lit(1))) if big else F.lit(0)
-    return cells.select("row_id", "features", F.concat_ws("-", "cell", share).alias("part"))
-
-
-def knn(points: DataFrame, k: int, metric: Metric = "euclidean", p: float = 2.0, weights: Sequence[float] | None = None, part: int = PART) -> DataFrame:
+@dataclass
+class Dealt:
+    """Points in parts, written: table (row_id, features, part), their number, and what is known of the parts."""
+
+    table: DataFrame
+    n: int
+    known: Boxes
+
+
+def deal(points: DataFrame, metric: Metric = "euclidean", p: float = 2.0, weights: Sequence[float] | None = None, part: int = PART) -> Dealt:
+    """Points (row_id, features) in parts, once for all that works on parts."""
+    table = written(spread(parted(points.select("row_id", "features"), part), "part"), "dealt")
+    return Dealt(table, table.count(), boxes(table, metric_name(metric), p, weights))
+
+
+def knn(points: DataFrame | Dealt, k: int, metric: Metric = "euclidean", p: float = 2.0, weights: Sequence[float] | None = None, part: int = PART) -> DataFrame:
     """u, v, dist, rank (1 to k) for points (row_id, features); pairs without a distance (dso at 0) are left out.
 
     Raises if there are no more than k points.
@@ -103,45 +186,47 @@ def knn(points: DataFrame, k: int, metric: Metric = "euclidean", p: float = 2.0,
     metric = metric_name(metric)
     if k < 1:
         raise ValueError(f"k: {k}; 1 or more")
-    dealt = written(parted(points, part), "parts")
-    n = dealt.count()
-    if n <= k:
-        raise ValueError(f"{n} points; more than {k} are needed for {k} neighbours")
+    dealt = points if isinstance(points, Dealt) else deal(points, metric, p, weights, part)
+    if dealt.n <= k:
+        raise ValueError(f"{dealt.n} points; more than {k} are needed for {k} neighbours")
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = pdf["row_id"].to_numpy(), np.array(pdf["features"].tolist(), dtype=float)
-        return pd.DataFrame(dict(zip(("u", "v", "dist"), nearest(ids, x, ids, x, k, metric, p, weights), strict=True)))
-
-    inside = written(dealt.groupBy("part").applyInPandas(local, FOUND), "knn-inside")
-    dim = len(dealt.first().features)
-    boxes = dealt.groupBy("part").agg(*(f(F.col("features")[i]).alias(f"{s}{i}") for i in range(dim) for s, f in (("lo", F.min), ("hi", F.max)))).collect()
-    names = [b.part for b in boxes]
-    if len(names) > 1:
-        low, high = (np.array([[b[f"{s}{i}"] for i in range(dim)] for b in boxes]) for s in ("lo", "hi"))
-        shared = points.sparkSession.sparkContext.broadcast((names, low, high))
-        reach = inside.groupBy("u").agg(F.when(F.count("*") >= k, F.max("dist")).alias("reach"))
-        asked = dealt.join(reach, F.col("row_id") == F.col("u"), "left").select("row_id", "features", "part", "reach")
-
-        def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, low, high = shared.value
-            for pdf in frames:
-                x = np.array(pdf["features"].tolist(), dtype=float).reshape(len(pdf), -1)
-                near = box_bound(x, low, high, metric, p, weights) <= pdf["reach"].fillna(np.inf).to_numpy()[:, None]
-                near &= pdf["part"].to_numpy()[:, None] != np.array(names, dtype=object)[None, :]
-                r, c = np.nonzero(near)
-                yield pd.DataFrame({"row_id": pdf["row_id"].to_numpy()[r], "features": pdf["features"].to_numpy()[r], "target": np.array(names, dtype=object)[c]})
-
-        routed = written(asked.mapInPandas(route, "row_id bigint, features array<double>, target string"), "knn-routed")
-
-        def visit(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-            if not len(queries) or not len(own):
-                return pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
-            x, q = np.array(own["features"].tolist(), dtype=float), np.array(queries["features"].tolist(), dtype=float)
-            return pd.DataFrame(dict(zip(("u", "v", "dist"), nearest(own["row_id"].to_numpy(), x, queries["row_id"].to_numpy(), q, k, metric, p, weights), strict=True)))
-
-        outside = routed.groupBy("target").cogroup(dealt.groupBy("part")).applyInPandas(visit, FOUND)
-        inside = inside.unionByName(outside)
-    ranked = inside.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("dist", "v")))
+        """Each point with its neighbours in the part, and the distance beyond which nothing can be among the k nearest."""
+        ids, x = pdf["row_id"].to_numpy(), matrix(pdf["features"])
+        r, v, dist = nearest(ids, x, ids, x, k, metric, p, weights)
+        cuts = np.searchsorted(r, np.arange(1, len(ids)))
+        found, far = np.split(v, cuts), np.split(dist, cuts)
+        return pdf[["row_id", "features", "part"]].assign(reach=[d[-1] if len(d) == k else np.inf for d in far], v=found, dist=far)
+
+    inner = written(spread(dealt.table, "part").groupBy("part").applyInPandas(local, "row_id bigint, features array<double>, part string, reach double, v array<bigint>, dist array<double>"), "knn-inside")
+    pair = F.posexplode(F.arrays_zip("v", "dist")).alias("i", "e")
+    inside = inner.select(F.col("row_id").alias("u"), pair).select("u", "e.v", "e.dist", (F.col("i") + 1).alias("rank"))
+    if len(dealt.known.names) == 1:
+        return inside
+    shared = dealt.table.sparkSession.sparkContext.broadcast(dealt.known)
+
+    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each point for each other part that could hold something nearer; the rows of a part come together."""
+        known: Boxes = shared.value
+        for pdf in frames:
+            for name, own in pdf.groupby("part", sort=False):
+                x, reach = matrix(own["features"]), own["reach"].to_numpy()
+                near = np.flatnonzero((known.apart(x.min(axis=0), x.max(axis=0)) <= reach.max()) & (known.names != name))
+                r, c = np.nonzero(known.bound(x, near) <= reach[:, None])
+                yield pd.DataFrame({"row_id": own["row_id"].to_numpy()[r], "features": own["features"].to_numpy()[r], "target": known.names[near[c]]})
+
+    routed = inner.select("row_id", "features", "part", "reach").mapInPandas(route, "row_id bigint, features array<double>, target string")
+
+    def visit(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(own):
+            return pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
+        ids = queries["row_id"].to_numpy()
+        r, v, dist = nearest(own["row_id"].to_numpy(), matrix(own["features"]), ids, matrix(queries["features"]), k, metric, p, weights)
+        return pd.DataFrame({"u": ids[r], "v": v, "dist": dist})
+
+    own = spread(dealt.table, "part")
+    outside = spread(routed, "target").groupBy("target").cogroup(own.groupBy("part")).applyInPandas(visit, "u bigint, v bigint, dist double")
+    ranked = inside.drop("rank").unionByName(outside).withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("dist", "v")))
     return ranked.where(F.col("rank") <= k).select(*(x.split(" ")[0] for x in KNN.split(", ")))
 
 
@@ -167,3 +252,9 @@ def compare_edges(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFr
     both = a.select("u", "v", F.col("w").alias("wa")).join(b.select("u", "v", F.col("w").alias("wb")), ["u", "v"], "full")
     absent = F.col("wa").isNull() | F.col("wb").isNull()
     return both.agg(F.count("*").alias("n"), F.coalesce(F.sum(absent.cast("long")), F.lit(0)).alias("missing"), F.coalesce(F.sum((F.abs(F.col("wa") - F.col("wb")) > tolerance).cast("long")), F.lit(0)).alias("differing"))
+
+
+def compare_core(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """n, missing, differing: how two tables of core distances (row_id, core) compare."""
+    edge = lambda t: t.select(F.col("row_id").alias("u"), F.col("row_id").alias("v"), F.col("core").alias("w"))
+    return compare_edges(edge(a), edge(b), tolerance)

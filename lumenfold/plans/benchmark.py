@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import threading
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,13 +88,26 @@ def predicted_seconds(sizes: Sequence[float], seconds: Sequence[float], size: fl
     return max(0.0, y1 + (y1 - y0) / (x1 - x0) * (size - x1)) if x1 != x0 else max(0.0, float(y1))
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n, and the sums of components and of their products, of a partition: bounded by the square of the dimensions."""
+    n, total, products = 0, None, None
+    for batch in batches:
+        if batch.num_rows:
+            x = np.array(batch.column("features").to_pylist(), dtype=float)
+            n, total, products = n + len(x), x.sum(axis=0) + (0 if total is None else total), x.T @ x + (0 if products is None else products)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([products.ravel().tolist()], pa.list_(pa.float64()))], ["n", "total", "products"])
+
+
 def project(points: DataFrame, dims: int = 2) -> DataFrame:
     """row_id, pc: principal components of the centred features; each one's largest loading is positive."""
-    n = len(points.first().features)
-    x = [F.col("features")[i] for i in range(n)]
-    sums = points.agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(x)), *(F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i in range(n) for j in range(i, n))).first()
-    cov = np.array([[sums[f"c{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
+    added = points.select("features").mapInArrow(_sums, "n bigint, total array<double>, products array<double>")
+    entry = lambda c: added.select(F.posexplode(c).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toArrow().column("x").to_numpy()
+    n, mean, products = added.agg(F.sum("n")).first()[0], entry("total"), entry("products")
+    mean = mean / n
+    cov = products.reshape(len(mean), -1) / n - np.outer(mean, mean)
     vectors = np.linalg.eigh(cov)[1][:, ::-1][:, :dims].T
     vectors = [v * np.sign(v[np.argmax(np.abs(v))]) for v in vectors]
-    parts = [sum(((x[i] - sums[f"m{i}"]) * float(v[i]) for i in range(n)), F.lit(0.0)) for v in vectors]
-    return points.select("row_id", F.array(*parts).alias("pc"))
+    centred = F.zip_with("features", F.array(*map(F.lit, mean.tolist())), lambda x, m: x - m)
+    part = lambda v: F.aggregate(F.zip_with(centred, F.array(*map(F.lit, v.tolist())), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
+    return points.select("row_id", F.array(*map(part, vectors)).alias("pc"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scaling
@@ -21,6 +21,7 @@ from ..operators import metrics as M
 from ..operators import mst
 from ..storage import written
 from . import benchmark
+from . import tree_sql as T
 from .estimator import DensityGrouping
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,11 +109,18 @@ def column_weights_inverse_std(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("column").alias("column_name"), _r("weight"))
 
 
-@_query("SELECT count(*) AS n, count(*) AS finite, CAST(0 AS BIGINT) AS negative FROM lineitem")
+@_query("SELECT CAST(count(*) AS BIGINT) AS n, true AS centred, true AS spread, true AS repeated, CAST(0 AS BIGINT) AS negative, CAST(0 AS BIGINT) AS unmoved FROM events")
 def gaussian_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts, as the noise itself is random: no row is lost, and none becomes negative."""
-    noisy = scaling.jitter(_table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount"), {"l_quantity": 1.0, "l_discount": 0.21}, not_negative=("l_quantity", "l_discount"))
-    return noisy.agg(F.count("*").alias("n"), F.sum((~F.isnan("l_quantity")).cast("long")).alias("finite"), F.sum(((F.col("l_quantity") < 0) | (F.col("l_discount") < 0)).cast("long")).alias("negative"))
+    """What noise of deviation 0.5 must show: no row lost or unmoved, none negative, its mean and deviation within 4 standard
+    errors, and the same noise again from other partitions."""
+    keys = ("event_id",)
+    rows = _table(spark, sf_dir, "events").select(*keys, (F.col("value") + 100).alias("x"), F.abs("value").alias("y"))
+    noisy = lambda df: scaling.jitter(df, {"x": 0.5, "y": 50.0}, not_negative=("y",), row_id=keys)
+    both = rows.select(*keys, F.col("x").alias("was")).join(noisy(rows), list(keys)).join(noisy(rows.repartition(5)).select(*keys, F.col("x").alias("again")), list(keys))
+    d = F.col("x") - F.col("was")
+    out = both.agg(F.count("*").alias("n"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("sd"), F.sum((F.col("x") != F.col("again")).cast("long")).alias("other"), F.sum((F.col("y") < 0).cast("long")).alias("negative"), F.sum((d == 0).cast("long")).alias("unmoved"))
+    error = F.lit(0.5) / F.sqrt("n")
+    return out.select("n", (F.abs("mean") < 4 * error).alias("centred"), (F.abs(F.col("sd") - 0.5) < 4 * error).alias("spread"), (F.col("other") == 0).alias("repeated"), "negative", "unmoved")
 
 
 # --- distances -------------------------------------------------------------------------------------------------------
@@ -230,18 +238,44 @@ def mst_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.agg(F.count("*").alias("edges"), F.round(F.sum("w"), 4).alias("weight"))
 
 
-@_query()
+@_query(T.edges_of_tree())
 def mst_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = written(_part_points(spark, sf_dir), "catalog-points")
-    near = K.core_distances(K.knn(points, K_PART - 1), K_PART, include_self=True)
-    return mst.complete_tree(points, near).select("u", "v", _r("w"))
+    dealt = K.deal(_part_points(spark, sf_dir))
+    near = written(K.knn(dealt, K_PART - 1), "catalog-knn")
+    return mst.complete_tree(dealt, K.core_distances(near, K_PART, include_self=True), near=near).select("u", "v", _r("w"))
 
 
-@_query()
+@_query(T.edges_of_forest())
 def boruvka_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mst.boruvka(K.undirected(_mrd(spark, sf_dir))).select("u", "v", _r("w"))
 
 
+@_query(T.edges_of_forest())
+def kruskal_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mst.spanning_forest(K.undirected(_mrd(spark, sf_dir))).select("u", "v", _r("w"))
+
+
+@_query(f"WITH {_MRD_SQL} SELECT count(DISTINCT (least(u, v), greatest(u, v))) AS edges, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS differing, CAST(2 AS BIGINT) AS missing_of_cut, true AS forest, false AS cut_forest FROM m")
+def graph_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph beside itself and beside one without its two lightest edges; its forest, whole and without an edge."""
+    edges = written(K.undirected(_mrd(spark, sf_dir)), "catalog-edges")
+    forest = written(mst.spanning_forest(edges), "catalog-forest")
+    less = edges.join(edges.orderBy("w", "u", "v").limit(2).select("u", "v"), ["u", "v"], "left_anti")
+    cut = forest.join(forest.orderBy("w", "u", "v").limit(1).select("u", "v"), ["u", "v"], "left_anti")
+    same, other = K.compare_edges(edges, edges), K.compare_edges(edges, less).select(F.col("missing").alias("missing_of_cut"))
+    return same.select(F.col("n").alias("edges"), "missing", "differing").crossJoin(other).select("*", F.lit(mst.verify_forest(edges, forest)).alias("forest"), F.lit(mst.verify_forest(edges, cut)).alias("cut_forest"))
+
+
+@_query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS differing FROM supplier")
+def core_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Core distances of suppliers by parts of 16 points against those from every pair."""
+    s = scaling.features(_table(spark, sf_dir, "supplier"), "s_suppkey", ["s_acctbal"])
+    every = complete_graph_edges(spark, sf_dir)
+    both = every.unionByName(every.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    ranks = both.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("w", "v"))).withColumnRenamed("w", "dist")
+    return K.compare_core(K.core_distances(K.knn(s, 3, part=16), 3), K.core_distances(ranks, 3))
+
+
 @_query(f"""
 WITH RECURSIVE {_MRD_SQL}, e AS (SELECT u, v FROM m UNION SELECT v, u FROM m),
 r AS (SELECT u AS node, u AS low FROM e UNION SELECT e.v, r.low FROM r JOIN e ON e.u = r.node WHERE r.low < e.v)
@@ -255,15 +289,17 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- epsilon grouping ------------------------------------------------------------------------------------------------
 
-_EPS_SQL = """
-s AS (SELECT s_suppkey AS id, s_acctbal AS x FROM supplier),
-e AS (SELECT a.id AS u, b.id AS v, abs(a.x - b.x) AS d FROM s a JOIN s b ON a.id <> b.id WHERE abs(a.x - b.x) <= 100),
-core AS (SELECT s.id FROM s LEFT JOIN e ON e.u = s.id GROUP BY s.id HAVING count(e.v) + 1 >= 3),
+_EPS = """e AS (SELECT * FROM (SELECT a.id AS u, b.id AS v, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM s a JOIN s b ON a.id <> b.id) WHERE d <= {eps}),
+core AS (SELECT s.id FROM s LEFT JOIN e ON e.u = s.id GROUP BY s.id HAVING count(e.v) + 1 >= {k}),
 ce AS (SELECT u, v FROM e WHERE u IN (SELECT id FROM core) AND v IN (SELECT id FROM core)),
 r AS (SELECT id AS node, id AS low FROM core UNION SELECT ce.v, r.low FROM r JOIN ce ON ce.u = r.node),
 cc AS (SELECT node, min(low) AS component FROM r GROUP BY node),
 border AS (SELECT u AS node, arg_min(component, (d, v)) AS component FROM e JOIN cc ON cc.node = e.v WHERE u NOT IN (SELECT id FROM core) GROUP BY u),
 f AS (SELECT s.id AS row_id, coalesce(cc.component, border.component) AS component, cc.node IS NOT NULL AS is_core FROM s LEFT JOIN cc ON cc.node = s.id LEFT JOIN border ON border.node = s.id)"""
+_EPS_SQL = "s AS (SELECT s_suppkey AS id, s_acctbal AS x, 0 AS y FROM supplier), " + _EPS.format(eps=100, k=3)
+_EPS_PARTS_SQL = T.PARTS + ", s AS (SELECT * FROM p), " + _EPS.format(eps=0.01, k=5)
+_NUMBERED = ", n AS (SELECT component, CAST(row_number() OVER (ORDER BY component) - 1 AS INTEGER) AS label FROM (SELECT DISTINCT component FROM f WHERE component IS NOT NULL))"
+_EPS_LABELS = "SELECT row_id, coalesce(label, -1) AS label FROM f LEFT JOIN n USING (component)"
 
 
 def _supplier_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,12 +311,12 @@ def eps_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _supplier_groups(spark, sf_dir).withColumn("component", F.coalesce("component", F.lit(-1)))
 
 
-@_query(f"WITH RECURSIVE {_EPS_SQL}, n AS (SELECT component, CAST(row_number() OVER (ORDER BY component) - 1 AS INTEGER) AS label FROM (SELECT DISTINCT component FROM f WHERE component IS NOT NULL)) SELECT row_id, coalesce(label, -1) AS label FROM f LEFT JOIN n USING (component)")
+@_query(f"WITH RECURSIVE {_EPS_SQL}{_NUMBERED} {_EPS_LABELS}")
 def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.numbered(_supplier_groups(spark, sf_dir))
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_EPS_PARTS_SQL}{_NUMBERED} {_EPS_LABELS}")
 def dbscan_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.numbered(D.dbscan(_part_points(spark, sf_dir), 0.01, 5))
 
@@ -307,74 +343,177 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, sf_dir).labels
 
 
-@_query()
+def _labels_of(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return _fit(spark, sf_dir, **options).labels.select("row_id", "label", _r("probability"))
+
+
+@_query(T.tree() + T.LABEL_ROWS)
 def hdbscan_labels_eom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flagship(spark, sf_dir).select("row_id", "label", _r("probability"))
+    return _labels_of(spark, sf_dir)
 
 
-@_query()
+@_query(T.tree(method="leaf", epsilon=0.01) + T.LABEL_ROWS)
 def hdbscan_labels_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fit(spark, sf_dir, cluster_selection_method="leaf", cluster_selection_epsilon=0.01).labels.select("row_id", "label", _r("probability"))
+    return _labels_of(spark, sf_dir, cluster_selection_method="leaf", cluster_selection_epsilon=0.01)
 
 
-@_query()
+@_query(T.tree(profile="native") + T.LABEL_ROWS)
 def hdbscan_labels_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fit(spark, sf_dir, profile="native").labels.select("row_id", "label", _r("probability"))
+    return _labels_of(spark, sf_dir, profile="native")
 
 
-@_query()
+@_query(T.tree(profile="native", method="leaf", epsilon=None) + T.LABEL_ROWS)
 def hdbscan_labels_native_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fit(spark, sf_dir, profile="native", cluster_selection_method="leaf").labels.select("row_id", "label", _r("probability"))
+    return _labels_of(spark, sf_dir, profile="native", cluster_selection_method="leaf")
 
 
-@_query()
+@_query(T.tree() + T.MERGE_ROWS)
 def merge_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, sf_dir).hierarchy.withColumn("dist", _r("dist"))
 
 
-@_query()
+@_query(T.tree(profile="native") + T.MERGE_ROWS)
+def merge_hierarchy_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fit(spark, sf_dir, profile="native").hierarchy.withColumn("dist", _r("dist"))
+
+
+@_query(T.tree() + T.CONDENSED_ROWS)
 def condensed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, sf_dir).condensed.withColumn("lambda", F.round("lambda", 6))
 
 
-@_query()
+@_query(T.tree(profile="native") + T.CONDENSED_ROWS)
+def condensed_tree_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fit(spark, sf_dir, profile="native").condensed.withColumn("lambda", F.round("lambda", 6))
+
+
+def _clusters(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return _fit(spark, sf_dir, **options).clusters.withColumns({"stability": F.round("stability", 6), "children": F.array_join(F.col("children").cast("array<string>"), ",")})
+
+
+@_query(T.tree() + T.CLUSTER_ROWS)
 def cluster_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fit(spark, sf_dir).clusters.withColumn("stability", F.round("stability", 6))
+    return _clusters(spark, sf_dir)
 
 
-@_query()
+@_query(T.tree(profile="native") + T.CLUSTER_ROWS)
+def cluster_stability_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(spark, sf_dir, profile="native")
+
+
+@_query(T.tree() + T.STABILITY_ROWS)
 def stability_from_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.stability_table(written(_fit(spark, sf_dir).condensed, "catalog-condensed")).withColumn("stability", F.round("stability", 6))
+    return H.stability_table(_fit(spark, sf_dir).condensed).withColumn("stability", F.round("stability", 6))
 
 
-@_query()
+@_query(T.tree() + T.TOP_ROWS)
 def cluster_max_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.max_lambda(_fit(spark, sf_dir).condensed).withColumn("lambda", F.round("lambda", 6))
 
 
-@_query()
+@_query(T.tree() + T.BELOW_ROWS)
 def cluster_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.descendants(written(_fit(spark, sf_dir).condensed, "catalog-condensed"))
+    return H.descendants(_fit(spark, sf_dir).condensed)
+
 
+@_query(T.tree() + T.LEAF_ROWS)
+def cluster_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.cluster_leaves(_fit(spark, sf_dir).condensed)
 
-@_query()
+
+@_query(T.tree(profile="native", method="leaf", epsilon=None) + "SELECT round(eps, 6) AS eps FROM eps")
+def automatic_epsilon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epsilon at the elbow of the number of clusters; 0 where there is none."""
+    eps = H.auto_epsilon(_fit(spark, sf_dir, profile="native").condensed) or 0.0
+    return spark.createDataFrame([(round(eps, 6),)], "eps double")
+
+
+@_query(T.tree() + T.CENTRE_ROWS)
 def membership_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = _fit(spark, sf_dir, store_centers="both")
-    return fitted.centroids.join(fitted.medoids.select("label", F.col("row_id").alias("medoid")), "label").withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
+    out = fitted.centroids.join(fitted.medoids.select("label", F.col("row_id").alias("medoid")), "label")
+    return out.select("label", *(F.round(F.col("centroid")[i], 6).alias(c) for i, c in enumerate("xy")), "medoid")
+
+
+_SUPPLIERS = "p AS MATERIALIZED (SELECT s_suppkey AS id, s_acctbal AS x, CAST(0 AS DOUBLE) AS y FROM supplier{})"
+
+
+@_query(T.tree(_SUPPLIERS.format(""), 3, 3) + T.LABEL_ROWS)
+def hdbscan_labels_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers by their given distances."""
+    s = scaling.features(_table(spark, sf_dir, "supplier"), "s_suppkey", ["s_acctbal"])
+    a, b = s.toDF("u", "x"), s.toDF("v", "y")
+    given = a.join(b, F.col("u") < F.col("v")).select("u", "v", distance(F.col("x"), F.col("y")).alias("dist"))
+    return DensityGrouping(3, 3).fit_distances(given).labels.select("row_id", "label", _r("probability"))
+
+
+@_query(T.tree(_SUPPLIERS.format(" WHERE s_suppkey % 5 > 1"), 3, 3) + T.LABEL_ROWS + " UNION ALL SELECT s_suppkey, CAST(s_suppkey % 5 - 3 AS INTEGER), CASE WHEN s_suppkey % 5 = 1 THEN 0 END FROM supplier WHERE s_suppkey % 5 < 2")
+def hdbscan_labels_odd_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some suppliers have a null or an infinite value."""
+    k = F.col("s_suppkey") % 5
+    rows = _table(spark, sf_dir, "supplier").select("s_suppkey", F.when(k == 0, None).when(k == 1, F.lit(float("inf"))).otherwise(F.col("s_acctbal")).alias("x"))
+    return DensityGrouping(3, 3).fit(rows, "s_suppkey", ["x"]).labels.select("row_id", "label", _r("probability"))
+
+
+def _mean_stability(k: int) -> str:
+    return f"SELECT * FROM ({T.tree(k=k)} SELECT CAST({k} AS INTEGER) AS k, round(coalesce((SELECT avg(stability) FROM k WHERE q IN (SELECT q FROM picked)), 0), 6) AS mean_stability)"
+
+
+@_query(" UNION ALL ".join(map(_mean_stability, (3, 4))))
+def min_samples_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean stability that each tried min_samples gives."""
+    points = _part_points(spark, sf_dir)
+    _, tried = D.choose_min_samples(points, lambda k: _fit(spark, sf_dir, min_samples=k).clusters)
+    return spark.createDataFrame([(k, round(m, 6)) for k, m in tried], "k int, mean_stability double")
+
+
+_BENCH_L = """l AS (SELECT row_id, CAST((p_size - 1) // 10 AS INTEGER) AS "true", label AS pred FROM {} JOIN part ON p_partkey = row_id)"""
+
+
+def _benchmark_sql(algorithm: str, grouping: str, labels: str) -> str:
+    return f"""SELECT * FROM ({grouping}, {_BENCH_L.format(labels)}, {_CELLS}, bc AS (SELECT * FROM c), {_AGREE.format(p="b", a='"true"', b="pred")}, {_TAXONOMY}
+SELECT 'part' AS batch, '{algorithm}' AS algorithm, (SELECT CAST(s AS BIGINT) FROM bs) AS samples, (SELECT count(DISTINCT "true") FROM l) AS emitters, (SELECT count(DISTINCT pred) FILTER (pred <> -1) FROM l) AS clusters,
+  (SELECT count(*) FROM e_ WHERE kind IN ('perfect', 'broken_up')) AS correct, (SELECT count(*) FROM e_ WHERE kind IN ('merged', 'missing')) AS incorrect,
+  round(ari, 6) AS ari, round(nmi, 6) AS nmi, round(2 * hom * com / (hom + com), 6) AS v_measure, false AS timeout FROM br)"""
+
+
+def _bench_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.floor((F.col("p_size") - 1) / 10).cast("int").alias("true"))
+    return written(_part_points(spark, sf_dir).join(size, "row_id"), "catalog-batch")
+
+
+def _algorithms() -> dict[str, Callable[[DataFrame], DataFrame]]:
+    columns = [F.col("features")[i].alias(f"x{i}") for i in range(2)]
+    return {"hdbscan": lambda r: DensityGrouping(20, K_PART).fit(r.select("row_id", *columns), columns=["x0", "x1"]).labels, "dbscan": lambda r: D.numbered(D.dbscan(r, 0.01, 5))}
 
 
-@_query()
 def algorithm_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two groupings of the parts against their brands: clusters and scores."""
-    rows = _part_points(spark, sf_dir).join(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.pmod(F.crc32("p_brand"), F.lit(1000)).cast("int").alias("true")), "row_id")
-    rows = written(rows, "catalog-batch")
-    algorithms = {"hdbscan": lambda r: DensityGrouping(20, K_PART).fit(r.select("row_id", *(F.col("features")[i].alias(f"x{i}") for i in range(2))), columns=["x0", "x1"]).labels, "dbscan": lambda r: D.numbered(D.dbscan(r, 0.01, 5))}
-    return benchmark.run_batches([("part", rows)], algorithms, "true").drop("seconds")
+    """Two groupings of the parts against their sizes by tens: clusters and scores."""
+    out = benchmark.run_batches([("part", _bench_rows(spark, sf_dir))], _algorithms(), "true")
+    return out.select("batch", "algorithm", "samples", "emitters", "clusters", "correct", "incorrect", _r("ari"), _r("nmi"), _r("v_measure"), "timeout")
+
 
+_PRINCIPAL = """
+WITH RECURSIVE x AS MATERIALIZED (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
+mean AS MATERIALIZED (SELECT i, avg(v) AS m FROM x GROUP BY i),
+y AS MATERIALIZED (SELECT vec_id, x.i, v - m AS v FROM x JOIN mean ON mean.i = x.i),
+c1 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v) / (SELECT count(*) FROM embeddings) AS v FROM y a JOIN y b ON a.vec_id = b.vec_id GROUP BY ALL),
+{first}, c2 AS MATERIALIZED (SELECT c1.i, c1.j, c1.v - (SELECT sum(p.v * c.v * q.v) FROM c1 c JOIN v1 p ON p.i = c.i JOIN v1 q ON q.i = c.j) * a.v * b.v AS v FROM c1 JOIN v1 a ON a.i = c1.i JOIN v1 b ON b.i = c1.j),
+{second}
+SELECT vec_id AS row_id, round(sum(y.v * a.v), 4) AS pc1, round(sum(y.v * b.v), 4) AS pc2 FROM y JOIN v1 a ON a.i = y.i JOIN v2 b ON b.i = y.i GROUP BY vec_id"""
 
-@_query()
+
+def _leading(k: int) -> str:
+    """v<k>: the leading direction of the matrix c<k>, by squaring it until only that is left."""
+    square = f"SELECT step + 1 AS step, i, j, v / sum(CASE WHEN i = j THEN v END) OVER () AS v FROM (SELECT max(a.step) AS step, a.i, b.j, sum(a.v * b.v) AS v FROM power{k} a JOIN power{k} b ON b.i = a.j WHERE a.step < 14 GROUP BY a.i, b.j)"
+    return f"""power{k} AS (SELECT 0 AS step, i, j, v / sum(CASE WHEN i = j THEN v END) OVER () AS v FROM c{k} UNION ALL {square}),
+u{k} AS MATERIALIZED (SELECT i, v FROM power{k} WHERE step = 14 AND j = (SELECT arg_max(i, v) FROM power{k} WHERE step = 14 AND i = j)),
+v{k} AS MATERIALIZED (SELECT i, v / (SELECT sqrt(sum(v * v)) * sign(arg_max(v, abs(v))) FROM u{k}) AS v FROM u{k})"""
+
+
+@_query(_PRINCIPAL.format(first=_leading(1), second=_leading(2)))
 def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchmark.project(_embedding_points(spark, sf_dir)).select("row_id", F.transform("pc", lambda x: F.round(x, 4)).alias("pc"))
+    return benchmark.project(_embedding_points(spark, sf_dir)).select("row_id", *(F.round(F.col("pc")[i], 4).alias(f"pc{i + 1}") for i in range(2)))
 
 
 # --- batching --------------------------------------------------------------------------------------------------------
@@ -431,7 +570,8 @@ def greedy_time_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scores ----------------------------------------------------------------------------------------------------------
 
 _L = "l AS (SELECT vec_id, label AS \"true\", CAST(CASE WHEN vec_id % 3 = 0 THEN label ELSE (vec_id * 7) % 12 - 1 END AS INTEGER) AS pred, CAST((vec_id * 5) % 9 - 1 AS INTEGER) AS other FROM embeddings)"
-_C = _L + ', c AS (SELECT "true", pred, count(*) AS n FROM l GROUP BY ALL)'
+_CELLS = 'c AS (SELECT "true", pred, count(*) AS n FROM l GROUP BY ALL)'
+_C = _L + ", " + _CELLS
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -450,7 +590,7 @@ _AGREE = """
 {p}h AS (SELECT (SELECT -sum(n / s * log2(n / s)) FROM {p}t, {p}s) AS h_true, (SELECT -sum(n / s * log2(n / s)) FROM {p}q, {p}s) AS h_pred,
   (SELECT sum({p}c.n / s * log2({p}c.n * s / (CAST({p}t.n AS DOUBLE) * {p}q.n))) FROM {p}c JOIN {p}t ON {p}t.k = {a} JOIN {p}q ON {p}q.k = {b}, {p}s) AS mi,
   (SELECT sum(n * (n - 1) / 2.0) FROM {p}c) AS x, (SELECT sum(n * (n - 1) / 2.0) FROM {p}t) AS y, (SELECT sum(n * (n - 1) / 2.0) FROM {p}q) AS z, (SELECT s * (s - 1) / 2.0 FROM {p}s) AS w),
-{p}r AS (SELECT *, (x - y * z / w) / ((y + z) / 2 - y * z / w) AS ari, 2 * mi / (h_true + h_pred) AS nmi, mi / h_true AS hom, mi / h_pred AS com FROM {p}h)"""
+{p}r AS (SELECT *, (x - y * z / w) / ((y + z) / 2 - y * z / w) AS ari, 2 * mi / (h_true + h_pred) AS nmi, coalesce(mi / nullif(h_true, 0), 1) AS hom, coalesce(mi / nullif(h_pred, 0), 1) AS com FROM {p}h)"""
 
 
 @_query(f"""WITH {_C}, {_AGREE.format(p='', a='"true"', b='pred')}
@@ -488,33 +628,37 @@ def cluster_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.purity(_labels(spark, sf_dir)).select("pure", "impure", "noise", _r("purity"))
 
 
-_TAXONOMY = (
-    _C
-    + """, k AS (SELECT *, count(*) OVER (PARTITION BY pred) AS m FROM c WHERE "true" <> -1 AND pred <> -1),
-e AS (SELECT a."true", a.n_points, a.n_noise, coalesce(b.n_clusters, 0) AS n_clusters, CASE WHEN b.n_clusters IS NULL THEN 'missing' WHEN b.most > 1 THEN 'merged' WHEN b.n_clusters = 1 THEN 'perfect' ELSE 'broken_up' END AS kind
+_TAXONOMY = """k_ AS (SELECT *, count(*) OVER (PARTITION BY pred) AS m FROM c WHERE "true" <> -1 AND pred <> -1),
+e_ AS (SELECT a."true", a.n_points, a.n_noise, coalesce(b.n_clusters, 0) AS n_clusters, CASE WHEN b.n_clusters IS NULL THEN 'missing' WHEN b.most > 1 THEN 'merged' WHEN b.n_clusters = 1 THEN 'perfect' ELSE 'broken_up' END AS kind, distribution
       FROM (SELECT "true", CAST(sum(n) AS BIGINT) AS n_points, CAST(coalesce(sum(n) FILTER (pred = -1), 0) AS BIGINT) AS n_noise FROM c WHERE "true" <> -1 GROUP BY 1) a
-      LEFT JOIN (SELECT "true", count(*) AS n_clusters, max(m) AS most FROM k GROUP BY 1) b ON a."true" = b."true"),
-z AS (SELECT "true", sum(n) AS size FROM c WHERE "true" <> -1 GROUP BY 1),
-f0 AS (SELECT pred, CAST(sum(n) AS BIGINT) AS n_points, count(*) FILTER ("true" <> -1) AS n_emitters, CASE WHEN count(*) FILTER ("true" <> -1) = 1 THEN max("true") FILTER ("true" <> -1) END AS own, max(n) FILTER ("true" <> -1) AS own_n FROM c WHERE pred <> -1 GROUP BY pred),
-f AS (SELECT pred, CASE WHEN n_emitters = 0 THEN 'false' WHEN n_emitters > 1 THEN 'impure' ELSE 'pure' END AS kind, n_points, n_emitters, CASE WHEN n_emitters = 1 THEN own_n / size END AS coverage,
-      CASE WHEN n_emitters = 1 THEN count(*) OVER (PARTITION BY own) - 1 END AS siblings FROM f0 LEFT JOIN z ON z."true" = own)"""
-)
+      LEFT JOIN (SELECT "true", count(*) AS n_clusters, max(m) AS most, string_agg(pred || ':' || n, ',' ORDER BY pred) AS distribution FROM k_ GROUP BY 1) b ON a."true" = b."true"),
+z_ AS (SELECT "true", sum(n) AS size FROM c WHERE "true" <> -1 GROUP BY 1),
+g_ AS (SELECT pred, CAST(sum(n) AS BIGINT) AS n_points, count(*) FILTER ("true" <> -1) AS n_emitters, CASE WHEN count(*) FILTER ("true" <> -1) = 1 THEN max("true") FILTER ("true" <> -1) END AS own, max(n) FILTER ("true" <> -1) AS own_n FROM c WHERE pred <> -1 GROUP BY pred),
+f_ AS (SELECT pred, CASE WHEN n_emitters = 0 THEN 'false' WHEN n_emitters > 1 THEN 'impure' ELSE 'pure' END AS kind, n_points, n_emitters, CASE WHEN n_emitters = 1 THEN own_n / size END AS coverage,
+      CASE WHEN n_emitters = 1 THEN count(*) OVER (PARTITION BY own) - 1 END AS siblings FROM g_ LEFT JOIN z_ ON z_."true" = own)"""
 
 
-@_query(f'WITH {_TAXONOMY} SELECT "true", kind, n_points, n_noise, n_clusters, round((n_points - n_noise) / n_points, 6) AS coverage FROM e')
+@_query(f'WITH {_C}, {_TAXONOMY} SELECT "true", kind, n_points, n_noise, n_clusters, round((n_points - n_noise) / n_points, 6) AS coverage, distribution FROM e_')
 def emitter_perspective(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.emitter_perspective(_labels(spark, sf_dir)).drop("distribution").withColumn("coverage", F.round("coverage", 6))
+    out = M.emitter_perspective(_labels(spark, sf_dir)).withColumn("coverage", F.round("coverage", 6))
+    entries = F.array_sort(F.map_entries("distribution"))
+    return out.withColumn("distribution", F.array_join(F.transform(entries, lambda e: F.concat_ws(":", e["key"], e["value"])), ","))
 
 
-@_query(f"WITH {_TAXONOMY} SELECT pred, kind, n_points, n_emitters, round(coverage, 6) AS coverage, coalesce(siblings, 0) AS siblings, n_emitters = 1 AND siblings > 0 AS broken_up FROM f")
+@_query(f"WITH {_C}, {_TAXONOMY} SELECT pred, kind, n_points, n_emitters, round(coverage, 6) AS coverage, coalesce(siblings, 0) AS siblings, n_emitters = 1 AND siblings > 0 AS broken_up FROM f_")
 def cluster_perspective(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.cluster_perspective(_labels(spark, sf_dir)).withColumns({"coverage": F.round("coverage", 6), "siblings": F.coalesce("siblings", F.lit(0)), "broken_up": F.coalesce("broken_up", F.lit(False))})
 
 
+_query(
+    _benchmark_sql("hdbscan", T.tree().rstrip(), "lab") + " UNION ALL " + _benchmark_sql("dbscan", f"WITH RECURSIVE {_EPS_PARTS_SQL}{_NUMBERED}, db AS ({_EPS_LABELS})", "db")
+)(algorithm_benchmark)
+
+
 _COUNT = lambda names, pre, frm: ", ".join(f"(SELECT count(*) FROM {frm} WHERE kind = '{k}') AS {pre}_{k}" for k in names) + f", (SELECT count(*) FROM {frm}) AS {pre}s"
 
 
-@_query(f"""WITH {_TAXONOMY}, g AS (SELECT {_COUNT(("missing", "perfect", "merged", "broken_up"), "emitter", "e")}, {_COUNT(("false", "pure", "impure"), "cluster", "f")})
+@_query(f"""WITH {_C}, {_TAXONOMY}, g AS (SELECT {_COUNT(("missing", "perfect", "merged", "broken_up"), "emitter", "e_")}, {_COUNT(("false", "pure", "impure"), "cluster", "f_")})
 SELECT *, emitter_perfect + emitter_broken_up AS correct, emitter_merged + emitter_missing AS incorrect, round((emitter_perfect + emitter_broken_up) / emitters, 6) AS correctness FROM g""")
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.quality_summary(_labels(spark, sf_dir)).withColumn("correctness", F.round("correctness", 6))

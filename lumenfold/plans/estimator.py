@@ -6,11 +6,11 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from numbers import Integral, Real
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scaling
-from ..functions.constraints import Interval, check, one_of
+from ..functions.constraints import check, number, one_of
 from ..functions.distance import Metric, metric_name
 from ..operators import hierarchy as H
 from ..operators import knn as K
@@ -24,26 +24,26 @@ INFINITE, MISSING = -2, -3
 NATIVE_FLOOR = 20
 
 CONSTRAINTS = {
-    "min_cluster_size": [Interval(Integral, 2, None)],
-    "min_samples": [Interval(Integral, 1, None), None],
-    "cluster_selection_epsilon": [Interval(Real, 0, None)],
-    "max_cluster_size": [Interval(Integral, 1, None), None],
+    "min_cluster_size": [number(Integral, 2, None)],
+    "min_samples": [number(Integral, 1, None), None],
+    "cluster_selection_epsilon": [number(Real, 0, None)],
+    "max_cluster_size": [number(Integral, 1, None), None],
     "metric": [str, Integral, "callable"],
-    "p": [Interval(Real, 0, None, "neither")],
+    "p": [number(Real, 0, None, "neither")],
     "weights": ["mapping", "array-like", None],
-    "alpha": [Interval(Real, 0, None, "neither")],
+    "alpha": [number(Real, 0, None, "neither")],
     "cluster_selection_method": [one_of("eom", "leaf")],
     "allow_single_cluster": ["boolean"],
     "store_centers": [one_of("centroid", "medoid", "both"), None],
     "profile": [one_of("standard", "native")],
     "normalise": ["boolean", None],
-    "native_floor": [Interval(Integral, 1, None)],
+    "native_floor": [number(Integral, 1, None)],
 }
 
 
 @dataclass
 class Fitted:
-    """Tables of a fit; each is computed when it is read."""
+    """Tables of a fit, all of them written."""
 
     labels: DataFrame
     clusters: DataFrame
@@ -103,31 +103,53 @@ class DensityGrouping:
         normalise = self.profile == "native" if self.normalise is None else self.normalise
         if normalise:
             good = scaling.min_max(good, names)
-        points = written(scaling.features(good, "row_id", names), "fit-points")
+        points = scaling.features(good, "row_id", names)
         n, top = points.agg(F.count("*"), F.coalesce(F.max("row_id"), F.lit(0))).first()
         k = self.min_samples or self.min_cluster_size
         if n < 2 or k > n:
             raise ValueError(f"{n} rows for min_samples {k}")
         weights = [self.weights.get(c, 1.0) for c in columns] if isinstance(self.weights, Mapping) else self.weights
         native = self.profile == "native"
-        near = written(K.knn(points, k if native else max(1, k - 1), self.metric, self.p, weights), "fit-knn")
+        dealt = K.deal(points, self.metric, self.p, weights)
+        near = written(K.knn(dealt, k if native else max(1, k - 1), self.metric, self.p, weights), "fit-knn")
         core = written(K.core_distances(near, k, include_self=not native), "fit-core")
         if native:
             edges = K.undirected(K.mutual_reachability(near, core))
             forest = mst.spanning_forest(edges.withColumn("w", F.col("w").cast("float").cast("double")))
         else:
-            forest = mst.complete_tree(points, core, self.metric, self.alpha, self.p, weights)
+            forest = mst.complete_tree(dealt, core, self.metric, self.alpha, self.p, weights, near)
+        return self._grouped(points, rows, forest, core, top + 1)
+
+    def fit_distances(self, distances: DataFrame) -> Fitted:
+        """Group rows by given distances: u, v, dist of pairs, each pair once or both ways. Pairs that are left out aren't joined directly."""
+        native = self.profile == "native"
+        k = self.min_samples or self.min_cluster_size
+        pairs = written(K.undirected(distances.select(F.col("u").cast("long"), F.col("v").cast("long"), F.col("dist").cast("double").alias("w")).where("u <> v and w is not null")), "fit-pairs")
+        both = pairs.select("u", "v", F.col("w").alias("dist")).unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("w").alias("dist")))
+        near = both.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("dist", "v"))).where(F.col("rank") <= (k if native else max(1, k - 1)))
+        near = written(near, "fit-knn")
+        core = written(K.core_distances(near, k, include_self=not native), "fit-core")
+        edges = K.undirected(K.mutual_reachability(near if native else both, core, 1.0 if native else self.alpha))
+        forest = mst.spanning_forest(edges.withColumn("w", F.col("w").cast("float").cast("double")) if native else edges)
+        points = core.select("row_id")
+        top = points.agg(F.coalesce(F.max("row_id"), F.lit(0))).first()[0]
+        return self._grouped(points, None, forest, core, top + 1)
+
+    def _grouped(self, points: DataFrame, rows: DataFrame | None, forest: DataFrame, core: DataFrame, first: int) -> Fitted:
         forest = written(mst.forest_components(written(forest, "fit-tree")), "fit-forest")
-        first = top + 1
-        condensed = H.condensed(forest, first, self._selection())
+        hierarchy, condensed = H.merge_trees(forest, first, self._selection())
         epsilon = None
-        if native and self.cluster_selection_method == "leaf":
-            epsilon = H.auto_epsilon(written(condensed, "fit-condensed")) or 0.0
-        selection = self._selection(epsilon)
-        placed = H.labels(points, written(H.selected(forest, first, selection), "fit-selected"))
-        odd = rows.where("odd is not null").select("row_id", F.col("odd").alias("label"), F.when(F.col("odd") == INFINITE, 0.0).alias("probability"))
-        labels = written(placed.unionByName(odd), "fit-labels")
-        fitted = Fitted(labels, H.clusters(forest, first, selection), condensed, H.hierarchy(forest, first), forest, core)
+        if self.profile == "native" and self.cluster_selection_method == "leaf":
+            epsilon = H.auto_epsilon(condensed) or 0.0
+        clusters, chosen = H.choose(condensed, first, self._selection(epsilon))
+        labels = H.labels(points, chosen)
+        if rows is not None:
+            odd = rows.where("odd is not null").select("row_id", F.col("odd").alias("label"), F.when(F.col("odd") == INFINITE, 0.0).alias("probability"))
+            labels = labels.unionByName(odd)
+        labels = written(labels, "fit-labels")
+        fitted = Fitted(labels, clusters, condensed, hierarchy, forest, core)
+        if rows is None:
+            return fitted
         real = labels.where("label >= 0")
         if self.store_centers in ("centroid", "both"):
             fitted.centroids = M.weighted_centroids(points, real)

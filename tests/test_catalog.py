@@ -27,8 +27,3 @@ def test_same_rows_as_sql(spark, sf, duck, name):
     columns = sorted(got.columns)
     assert columns == sorted(want.column_names)
     assert rows((r.asDict() for r in got.collect()), columns) == rows(want.to_pylist(), columns)
-
-
-@pytest.mark.parametrize("name", ["hdbscan_labels_native", "merge_hierarchy", "condensed_tree", "membership_centres", "principal_components"])
-def test_runs(spark, sf, name):
-    assert catalog.queries()[name](spark, sf).count() > 0

@@ -103,6 +103,53 @@ def test_complete_tree_in_blocks(spark):
     assert {(r.u, r.v) for r in one} == {(r.u, r.v) for r in many} and len(one) == 69
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_tree_of_parts_is_the_tree(spark, metric):
+    """Clouds far apart, equal points and an outlier: pruned parts give the edges that all points together give."""
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(5, 0.4, (90, 2)), rng.normal((20, 3), 0.1, (60, 2)), np.full((25, 2), 7.0), rng.random((60, 2)) * 30 + 1, [[300.0, 200.0]]]).round(2)
+    points = written(spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>"), "t")
+    dealt = K.deal(points, metric, part=24)
+    near = written(K.knn(dealt, 4, metric), "n")
+    core = K.core_distances(near, 4)
+    want = {tuple(r) for r in mst.complete_tree(points, core, metric).collect()}
+    assert len(want) == len(x) - 1 and len(dealt.known.names) > 8
+    for given in (None, near) if metric == "euclidean" else (near,):
+        assert {tuple(r) for r in mst.complete_tree(dealt, core, metric, near=given).collect()} == want
+
+
+def test_large_cells_are_split(spark):
+    rows = spark.range(600).select(F.col("id").alias("row_id"), F.array(F.when(F.col("id") < 400, 1.0).otherwise(F.col("id") / 7.0)).alias("features"))
+    sizes = [r["count"] for r in K.parted(rows, 64).groupBy("part").count().collect()]
+    assert sum(sizes) == 600 and max(sizes) <= 64
+
+
+@pytest.mark.parametrize("dim", [2, 4])
+def test_cells_and_pairs_agree(spark, dim):
+    rng = np.random.default_rng(dim)
+    x = np.vstack([rng.normal(0, 0.3, (80, dim)), rng.normal(2, 0.05, (60, dim)), rng.random((60, dim)) * 6 - 1]).round(2)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>")
+    for eps, k in ((0.4, 5),):
+        want = sorted(map(tuple, D._by_pairs(points, eps, k).collect()), key=str)
+        assert sorted(map(tuple, D.dbscan(points, eps, k).collect()), key=str) == want
+
+
+def test_dense_neighbours_that_few_points_do_not_join(spark):
+    """Two dense cells, of which only one point each is near enough."""
+    rows = [(i, [0.01 * (i % 7)]) for i in range(60)] + [(100, [0.45])] + [(200 + i, [1.49 + 0.001 * (i % 5)]) for i in range(60)] + [(300, [1.44])]
+    got = {r.row_id: r.component for r in D.dbscan(spark.createDataFrame(rows, "row_id long, features array<double>"), 1.0, 5).collect()}
+    assert set(got.values()) == {0}
+
+
+def test_given_distances(spark):
+    a = [(i, float(x)) for i, x in enumerate(LINE)]
+    pairs = spark.createDataFrame([(i, j, abs(x - y)) for i, x in a for j, y in a if i < j], "u long, v long, dist double")
+    for profile in ("standard", "native"):
+        grouping = DensityGrouping(3, 2, profile=profile, normalise=False, native_floor=2)
+        want = {r.row_id: (r.label, r.probability) for r in grouping.fit(spark.createDataFrame(a, "row_id long, x double"), columns=["x"]).labels.collect()}
+        assert {r.row_id: (r.label, r.probability) for r in grouping.fit_distances(pairs).labels.collect()} == want
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (100, 100), (103, 102)] + [(200, 200 + i) for i in range(1, 40)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(e, "u long, v long")).collect()}

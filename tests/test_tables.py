@@ -84,7 +84,11 @@ def test_generated(spark):
 def test_distance_both_ways(spark, metric):
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(20, 3)), rng.normal(size=(20, 3))
-    w = (0.5, 1.5, 2.0)
+    w = [[2.0, 0.3, 0.1], [0.3, 1.0, 0.2], [0.1, 0.2, 1.5]] if metric == "mahalanobis" else (0.5, 1.5, 2.0)
+    if metric in (*dist.TRUTH, "hamming"):
+        a, b = (a > 0).astype(float), (b > 0).astype(float)
+    if metric == "haversine":
+        a, b = a[:, :2], b[:, :2]
     df = spark.createDataFrame([(i, x.tolist(), y.tolist()) for i, (x, y) in enumerate(zip(a, b))], "i int, a array<double>, b array<double>")
     got = [r.d for r in df.select("i", dist.distance(F.col("a"), F.col("b"), metric, 3.0, w).alias("d")).orderBy("i").collect()]
     assert np.allclose(got, np.diag(dist.block_distance(a, b, metric, 3.0, w)))
@@ -178,10 +182,40 @@ def test_constraints():
 
     from lumenfold.functions import constraints as C
 
-    assert C.Interval(Real, 0, 1, "left").accepts(0) and not C.Interval(Real, 0, 1, "left").accepts(1) and not C.Interval(Real, 0, 1).accepts(True)
-    assert C.accepts("random state", 3) and not C.accepts("boolean", 1) and C.accepts(C.Methods(("append",)), []) and C.accepts("missing", math.nan)
+    part, whole = C.number(Real, 0, 1, "left"), C.number(Real, 0, 1)
+    assert C.accepts(part, 0) and not C.accepts(part, 1) and not C.accepts(whole, True) and not C.accepts(whole, math.nan) and C.accepts(C.number(Real, None, 1, "neither"), -5)
+    assert C.accepts("random state", 3) and not C.accepts("boolean", 1) and C.accepts(C.with_methods("append"), []) and C.accepts("missing", math.nan)
     C.check("x", {"a": [C.one_of("u", "v"), None]}, {"a": None, "b": 5})
     with pytest.raises(C.ParameterError, match="'u', 'v' or None"):
-        C.check("x", {"a": [C.one_of("u", "v"), None]}, {"a": "w"})
+        C.check("x", {"a": [C.one_of("u", "v"), None, C.hidden(C.one_of("w2"))]}, {"a": "w"})
     with pytest.raises(ValueError):
-        C.Interval(Real, 1, 0)
+        C.number(Real, 1, 0)
+    with pytest.warns(FutureWarning):
+        C.check("x", {"a": [C.deprecated(C.one_of("old")), None]}, {"a": "old"})
+
+
+def test_checked_arguments():
+    from numbers import Integral
+
+    from lumenfold.functions import constraints as C
+
+    @C.checked({"n": [C.number(Integral, 1)], "free": "no validation"})
+    def twice(n, free=None):
+        return 2 * n
+
+    assert twice(3, free=object()) == 6
+    with pytest.raises(C.ParameterError, match="at least 1"):
+        twice(n=0)
+
+
+def test_metric_names():
+    assert {dist.metric_name(m) for m in ("l1", "cityblock", 1)} == {"manhattan"} and dist.metric_name("wminkowski") == "minkowski"
+    a, b = np.array([[1.0, 0, 2, 0]]), np.array([[3.0, 1, 0, 0]])
+    got = {m: float(dist.block_distance(a, b, m)[0, 0]) for m in dist.TRUTH}
+    assert got == pytest.approx({"dice": 0.5, "jaccard": 2 / 3, "matching": 0.5, "rogerstanimoto": 2 / 3, "russellrao": 0.75, "sokalsneath": 0.8, "yule": 1.0})
+    gaps = dist.block_distance(np.array([[1.0, np.nan]]), np.array([[4.0, 2.0]]), "nan_euclidean")
+    assert gaps[0, 0] == pytest.approx(math.sqrt(18))
+    assert dist.block_distance(np.array([[0.0, 0.0]]), np.array([[0.0, math.pi]]), "haversine")[0, 0] == pytest.approx(math.pi)
+    for name in ("seuclidean", "mahalanobis"):
+        with pytest.raises(ValueError):
+            dist.block_distance(a, b, name)
