@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..storage import shared_path, shared_root  # noqa: F401
+from ..storage import drop_path, shared_path, shared_root  # noqa: F401
 
 #: Largest value, in bytes, that an operator broadcasts or collects at once.
 BROADCAST_BYTES = 64 << 20
 #: Text that goes to Python at once.
 BATCH_BYTES = 8 << 20
+#: Least share of a table's rows, as 1 / HOT, that makes a join key hot.
+HOT = 1024
 #: Rows held out of every fit: crc32(doc_id as text) mod 3 is HELD_OUT.
 HELD_OUT = 1
 
@@ -31,11 +33,18 @@ def written(df: DataFrame, label: str, small: bool = False) -> DataFrame:
     return storage.written(df, label, small)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Spark's file system layer."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def hot_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right (one row for each key), where a key may hold many of left's rows.
+
+    sizes: key and its number n of left's rows; total: all of them. Keys of at least a HOT-th of all rows, of which there
+    are at most HOT, are broadcast; only the rows of the others are moved. A null key meets nothing.
+    """
+    hot = sizes.where((F.col("n") * HOT >= total) & F.col(key).isNotNull()).select(key)
+    few = right.join(F.broadcast(hot), key, "left_semi").withColumn("__hot", F.lit(True))
+    marked = left.join(F.broadcast(few), key, "left")
+    done = marked.where(F.col("__hot").isNotNull() | F.col(key).isNull()).drop("__hot") if how == "left" else marked.where("__hot").drop("__hot")
+    rest = left.join(F.broadcast(hot), key, "left_anti")
+    return done.unionByName((rest.where(F.col(key).isNotNull()) if how == "left" else rest).join(right, key, how))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

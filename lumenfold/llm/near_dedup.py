@@ -17,7 +17,8 @@ short by chance (5 standard errors) more rarely still. Shingles are compared by
 Fewer than five words make one shingle. A text that is null, empty or all white space has an empty set and is linked
 with nothing. Rows are documents by themselves, also where they share a doc_id: identical ones get identical rows. A
 component goes by its smallest doc_id, whose rows in it are kept; texts under one doc_id can be in different components.
-A null doc_id is not linked, has a null component_id and is kept. An empty table gives an empty result.
+A null doc_id is not linked, has a null component_id and is kept. Other columns, whatever their names, play no part. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import doc_rows, slices, table, written
+from .common import doc_rows, hot_join, slices, table, written
 from .textscan import SPACED, Words, mix
 
 SHINGLE = 5
@@ -46,6 +47,8 @@ PICK_BANDS = 8
 SHARP_MINIMA, SHARP_BITS, SHARP_MARGIN = 2048, 2, 0.06
 #: Its first minima, which settle most pairs.
 QUICK_MINIMA, QUICK_MARGIN = 256, 0.17
+#: Rows of a key that others are compared with at a time.
+SHARE = 4096
 LONGS = MINIMA * LOW_BITS // 64
 SKETCH = "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, bits array<long>"
 
@@ -183,7 +186,7 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_hash of each row of docs."""
     texts = doc_rows(docs).withColumn("text_hash", F.xxhash64("text"))
     rows = written(texts.select("doc_id", "text_hash", "text").mapInArrow(_sketch, SKETCH), "sketch")
-    reps = rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("text_hash", "doc_id").alias("rep_hash"))
+    reps = rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("text_hash", "doc_id").alias("rep_hash"), F.count("*").alias("n"))
     reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "classes")
     # From here to the naming of components, doc_id is the number of a class: rows of unlike texts may share a doc_id.
     standing = (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))
@@ -195,9 +198,9 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
     banded = classes.select("doc_id", F.posexplode("bands").alias("band", "key"))
     # Keys with several members only: most have one. `pick` is a member that differs from key to key.
     pick = F.when(F.col("band") < PICK_BANDS, F.struct(F.xxhash64("key", "doc_id").alias("h"), F.col("doc_id").alias("p")))
-    lead = banded.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(pick).alias("pick")).where("low < high")
-    lead = written(lead.select("key", "low", F.col("pick.p").alias("pick")), "leaders")
-    members = written(banded.select("doc_id", "key").join(lead.hint("shuffle_hash"), "key"), "members")
+    lead = banded.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(pick).alias("pick"), F.count("*").alias("n")).where("low < high")
+    lead = written(lead.select("key", "low", F.col("pick.p").alias("pick"), "n"), "leaders")
+    members = written(hot_join(banded.select("doc_id", "key"), lead.drop("n").hint("shuffle_hash"), "key", lead.select("key", "n"), BANDS * classes.count()), "members")
 
     tested = members.select(F.explode(F.array_compact(F.array("low", "pick"))).alias("p"), "doc_id").where("p <> doc_id")
     tested = written(tested.select(F.least("p", "doc_id").alias("u"), F.greatest("p", "doc_id").alias("v")).distinct(), "pairs", small=True)
@@ -209,14 +212,18 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
     # Keys whose members are in several components: the pairs across them, by a sharper estimate.
     found = written(connected_components(links), "components", small=True)
     placed = written(members.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "placed")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.mode("component").alias("main")).where("x < y")
-    open_keys = written(open_keys.select("key", "main"), "open", small=True)
-    left = written(placed.join(open_keys.hint("shuffle_hash"), "key").withColumn("main", F.col("component") == F.col("main")), "unsettled")
+    # The largest component of a key (ties: the smallest number), from counts of each: no list of them is kept.
+    counted = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    open_keys = counted.groupBy("key").agg(F.count("*").alias("components"), F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.sum("n").alias("n")).where("components > 1")
+    open_keys = written(open_keys.select("key", "main", "n", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")), "open", small=True)
+    left = hot_join(placed, open_keys.drop("n").hint("shuffle_hash"), "key", open_keys.select("key", "n"), max(1, placed.count()))
+    left = written(left.withColumn("main", F.col("component") == F.col("main")), "unsettled")
     sharp = _of(texts, reps, left.select("doc_id"), _sharp, "doc_id long, sharp array<long>", "sharp")
     left = written(left.join(written(sharp.join(classes.select("doc_id", "bands"), "doc_id"), "sharp"), "doc_id"), "rest")
-    # A key's most frequent component isn't joined with itself, row by row; the others meet all rows of the key.
-    a, b = left.where(~F.col("main")).alias("a"), left.alias("b")
-    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & (F.col("b.main") | (F.col("a.doc_id") < F.col("b.doc_id")))
+    # A key's most frequent component isn't joined with itself, row by row; the others meet all rows of the key, SHARE at a time.
+    a = left.where(~F.col("main")).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).alias("a")
+    b = left.withColumn("share", F.pmod(F.xxhash64("doc_id"), "shares").cast("int")).alias("b")
+    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.share") == F.col("b.share")) & (F.col("a.component") != F.col("b.component")) & (F.col("b.main") | (F.col("a.doc_id") < F.col("b.doc_id")))
     across &= _likely(F.col("a.sharp"), F.col("b.sharp"), QUICK_MARGIN, QUICK_MINIMA, SHARP_BITS)
     rest = a.join(b, across & _likely(F.col("a.sharp"), F.col("b.sharp"), SHARP_MARGIN, SHARP_MINIMA, SHARP_BITS) & _first_shared("a", "b"))
     rest = rest.select(F.least("a.doc_id", "b.doc_id").alias("u"), F.greatest("a.doc_id", "b.doc_id").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
@@ -225,8 +232,8 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
         found = written(connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components", small=True)
     low = written(found.join(reps.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("low")), "named", small=True)
     named = found.join(low, "component").select("node", "low")
-    classed = written(reps.join(named, "node", "left").select("digest", F.coalesce("low", "rep").alias("class_component")), "classed")
-    out = rows.select("doc_id", "text_hash", "n_shingles", "digest").join(classed, "digest", "left")
+    classed = written(reps.join(named, "node", "left").select("digest", F.coalesce("low", "rep").alias("class_component"), "n"), "classed")
+    out = hot_join(rows.select("doc_id", "text_hash", "n_shingles", "digest"), classed.drop("n"), "digest", classed.select("digest", "n"), rows.count(), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
 

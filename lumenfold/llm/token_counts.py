@@ -4,7 +4,11 @@ A document's content digest and the tokenizer file's digest are looked up in a s
 that the table lacks are encoded, one document for each, and their counts are appended to it.
 
 Content is taken as it is: any change of letters or spaces could change a count. A null text counts as empty. Rows
-that repeat a doc_id or a text each get a row. An empty table gives an empty result.
+that repeat a doc_id or a text each get a row; a text that many rows repeat is broadcast with its count rather than
+joined. Other columns, whatever their names, are left. An empty table gives an empty result.
+
+The cache is partitioned by tokenizer version, so that a run reads the counts of its own only. The query keeps its
+cache in the folder named by CACHE_SETTING, for the next run; where that is unset, it begins with an empty one.
 """
 
 from __future__ import annotations
@@ -16,8 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import doc_rows, shared_path, table, written
+from .common import doc_rows, hot_join, shared_path, table, written
 
+#: Session setting that names the folder of the query's cache.
+CACHE_SETTING = "spark.lumenfold.tokenCache"
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 LIMIT = 1024
 
@@ -49,7 +55,7 @@ class DigestCache:
         return stored.where(F.col("tokenizer") == version).select("digest", "n_tokens")
 
     def append(self, version: str, counts: DataFrame) -> None:
-        counts.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(self.path)
+        counts.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").partitionBy("tokenizer").parquet(self.path)
 
 
 def count_tokens(docs: DataFrame, cache_path: str | None = None, tokenizer_path: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -62,15 +68,17 @@ def count_tokens(docs: DataFrame, cache_path: str | None = None, tokenizer_path:
     keys = written(keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "token-keys")
 
     # One row stands for each missing content; only its text moves. A null id stands where there is no other.
-    missing = keys.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(cache.read(version), "digest", "left_anti")
+    distinct = written(keys.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "token-digests")
+    missing = distinct.join(cache.read(version), "digest", "left_anti")
     rep = missing.select(F.col("digest").alias("rep_digest"), "rep").hint("shuffle_hash")
     todo = keyed.join(rep, (F.col("digest") == F.col("rep_digest")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     counted = todo.select("digest", "text").mapInArrow(_encoder(path), "digest binary, n_tokens long")
     cache.append(version, counted)
 
-    counts = written(cache.read(version).join(keys.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "token-counts")
-    return keys.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counts = written(cache.read(version).join(distinct.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "token-counts")
+    joined = hot_join(keys, counts, "digest", distinct.select("digest", "n"), keys.count())
+    return joined.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"))
+    return count_tokens(table(spark, sf_dir, "documents"), spark.conf.get(CACHE_SETTING, None))
