@@ -44,19 +44,19 @@ _ASSIGN = rf"""({_KEYS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 def _spans(kind: int, pattern: str, group: int, keep: str = "true") -> str:
     m, sp, val = f"regexp_extract_all(text, '{pattern}')", f"string_split_regex(text, '{pattern}')", f"regexp_extract_all(text, '{pattern}', {group})"
     start = "CAST(coalesce(list_sum(list_transform(sp[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) AS BIGINT)"
-    return f"""SELECT doc_id, owner, {kind} AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'s': {start}, 'n': len(m[i]), 'v': val[i]}})) AS x
-FROM (SELECT doc_id, owner, {m} AS m, {sp} AS sp, {val} AS val FROM d) WHERE len(m) > 0"""
+    return f"""SELECT doc_id, owner, repo, {kind} AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'s': {start}, 'n': len(m[i]), 'v': val[i]}})) AS x
+FROM (SELECT doc_id, owner, repo, {m} AS m, {sp} AS sp, {val} AS val FROM d) WHERE len(m) > 0"""
 
 
 SECRET_SCAN = f"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repo, coalesce(text, '') AS text FROM documents),
 a AS ({_spans(0, _ASSIGN, 2)} UNION ALL {_spans(1, ACCESS, 0)} UNION ALL {_spans(2, HEX, 0)} UNION ALL {_spans(3, LIVE, 0)}),
-f AS (SELECT doc_id, owner, kind, x.s AS s, x.s + x.n AS e, x.v AS v FROM a WHERE kind <> 0 OR len(x.v) >= 6),
+f AS (SELECT doc_id, owner, repo, kind, x.s AS s, x.s + x.n AS e, x.v AS v FROM a WHERE kind <> 0 OR len(x.v) >= 6),
 g AS (SELECT * FROM f WHERE kind < 3 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id = f.doc_id AND b.kind < 3 AND b.s < f.e AND f.s < b.e))),
-o AS (SELECT v, count(DISTINCT owner) AS owners FROM g GROUP BY v),
-h AS (SELECT g.*, owners, ['assign', 'access', 'hex', 'live'][kind + 1] || ':' || s || ':' || e AS t FROM g JOIN o ON g.v = o.v WHERE kind < 3 OR owners = 1),
+o AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM g GROUP BY v),
+h AS (SELECT g.*, owners, CASE WHEN owners >= 5 THEN 'copied' WHEN owners > 1 THEN 'shared' WHEN repos > 1 THEN 'owner' ELSE 'repository' END AS class, ['assign', 'access', 'hex', 'live'][kind + 1] || ':' || s || ':' || e AS t FROM g JOIN o ON g.v = o.v WHERE kind < 3 OR owners = 1),
 r AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
-      sha256(coalesce(string_agg(t, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256, string_agg(t, ',' ORDER BY s, kind) AS spans, count(*) FILTER (owners = 1) AS n_owner_specific, count(*) FILTER (owners >= 5) AS n_copied FROM h GROUP BY doc_id)
+      sha256(coalesce(string_agg(t, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256, string_agg(t, ',' ORDER BY s, kind) AS spans, string_agg(class, ',' ORDER BY s, kind) AS classes, count(*) FILTER (owners = 1) AS n_owner_specific, count(*) FILTER (owners >= 5) AS n_copied FROM h GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(n_owner_specific, 0) AS n_owner_specific, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+       coalesce(n_owner_specific, 0) AS n_owner_specific, coalesce(n_copied, 0) AS n_copied, coalesce(classes, '') AS classes FROM d LEFT JOIN r ON d.doc_id = r.doc_id
 """
