@@ -97,7 +97,8 @@ def _scanned(docs: DataFrame, owner_col: str, repo_cols: tuple[str, ...]) -> Dat
     return rows.select("doc_id", "text_hash", "owner", "repo", F.transform("base", hashed).alias("base"), F.transform("live", hashed).alias("live"))
 
 
-_NO_ID = F.lit(-(2**63))
+#: Stands for a null id in joins.
+_NO_ID = -(2**63)
 
 
 def _apart(spans: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def find_secrets(docs: DataFrame, owner_col: str = "source", repo_cols: tuple[st
     """doc_id, text_hash, base and found (all spans, with owners, repositories and class) arrays, n_owner_specific, n_copied of each row of docs."""
     rows = written(_scanned(docs, owner_col, repo_cols), "secret-scan")
     some = rows.where((F.size("base") > 0) | (F.size("live") > 0)).withColumn("mixed", (F.size("base") > 0) & (F.size("live") > 0))
-    spans = some.select(F.coalesce("doc_id", _NO_ID).alias("id"), "text_hash", "owner", "repo", "mixed", F.explode(F.concat("base", "live")).alias("s"))
+    spans = some.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text_hash", "owner", "repo", "mixed", F.explode(F.concat("base", "live")).alias("s"))
     spans = spans.where("not mixed").unionByName(_apart(spans.where("mixed"))).drop("mixed")
     spans = written(spans.withColumn("hash", F.col("s.hash")), "secret-spans")
     held = spans.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n")).groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
@@ -130,7 +131,7 @@ def find_secrets(docs: DataFrame, owner_col: str = "source", repo_cols: tuple[st
         F.sum((F.col("owners") == 1).cast("long")).alias("n_owner_specific"),
         F.sum((F.col("owners") >= copied_owners).cast("long")).alias("n_copied"),
     )
-    out = rows.join(written(found, "secret-found"), (F.coalesce("doc_id", _NO_ID) == F.col("id")) & (F.col("text_hash") == F.col("th")), "left")
+    out = rows.join(written(found, "secret-found"), (F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("id")) & (F.col("text_hash") == F.col("th")), "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int,owners:bigint,repos:bigint,class:string>>")
     return out.select("doc_id", "text_hash", "base", F.coalesce("found", none).alias("found"), *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_owner_specific", "n_copied")))
 
@@ -141,7 +142,7 @@ def redact_secrets(docs: DataFrame, owner_col: str = "source", repo_cols: tuple[
     spans = written(spans.dropDuplicates(["__lumenfold_id", "__lumenfold_hash"]), "secret-redact")
     own = lambda name: docs["`" + name.replace("`", "``") + "`"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.join(spans, (F.coalesce(F.col("doc_id").cast("long"), _NO_ID) == F.col("__lumenfold_id")) & (F.xxhash64(text) == F.col("__lumenfold_hash")), "left")
+    out = docs.join(spans, (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)) == F.col("__lumenfold_id")) & (F.xxhash64(text) == F.col("__lumenfold_hash")), "left")
 
     # Spans in runs, each with its own stretch of the text; pieces are taken from the end of what is already hidden, and joined once.
     def step(acc: Column, s: Column) -> Column:
