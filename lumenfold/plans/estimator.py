@@ -110,6 +110,10 @@ class DensityGrouping:
             raise ValueError(f"{n} rows for min_samples {k}")
         weights = [self.weights.get(c, 1.0) for c in columns] if isinstance(self.weights, Mapping) else self.weights
         native = self.profile == "native"
+        found = None if native else self._by_places(points, k, weights)
+        if found:
+            core, forest = found
+            return self._grouped(points, rows, forest, core, n, top + 1)
         dealt = K.deal(points, self.metric, self.p, weights)
         near = written(K.knn(dealt, k if native else max(1, k - 1), self.metric, self.p, weights), "fit-knn")
         core = written(K.core_distances(near, k, include_self=not native), "fit-core")
@@ -118,7 +122,38 @@ class DensityGrouping:
             forest = mst.spanning_forest(edges.withColumn("w", F.col("w").cast("float").cast("double")))
         else:
             forest = mst.complete_tree(dealt, core, self.metric, self.alpha, self.p, weights, near)
-        return self._grouped(points, rows, forest, core, top + 1)
+        return self._grouped(points, rows, forest, core, n, top + 1)
+
+    def _by_places(self, points: DataFrame, k: int, weights: Sequence[float] | None) -> tuple[DataFrame, DataFrame] | None:
+        """Core distances and the tree, with one point for each place that holds k points or more; None where that doesn't apply.
+
+        The core distance of such points is 0, so that they are joined by edges of weight 0, in order of (w, u, v) from the
+        smallest of them to each other one. All have the same distances to the rest, and of equal edges that of the smallest comes
+        first: it stands for all. Neighbours are looked for among those that are left, where one that stands for others is k.
+        """
+        if metric_name(self.metric) not in K.PLAIN or weights is not None and min(weights) <= 0:
+            return None
+        places = points.groupBy("features").agg(F.count("*").alias("n"), F.min("row_id").alias("home")).where((F.col("n") > 1) & (F.col("n") >= k))
+        marked = written(points.join(places, "features", "left").select("row_id", "features", "home"), "fit-places")
+        copies = marked.where("home <> row_id")
+        if copies.isEmpty():
+            return None
+        few = marked.where("home is null or home = row_id")
+        star = copies.select(F.col("home").alias("u"), F.col("row_id").alias("v"), F.lit(0.0).alias("w"))
+        zero = marked.where("home is not null").select("row_id", F.lit(0.0).alias("core"))
+        dealt = K.deal(few, self.metric, self.p, weights)
+        if dealt.n == 1:
+            return written(zero, "fit-core"), star
+        reach = max(1, k - 1)
+        near = written(K.knn(dealt, min(reach, dealt.n - 1), self.metric, self.p, weights), "fit-knn")
+        many = few.where("home is not null").select(F.col("row_id").alias("v"), F.lit(True).alias("many"))
+        enough = F.when((F.col("rank") == reach) | F.col("many"), F.col("dist"))
+        alone = few.where("home is null").select(F.col("row_id").alias("u"))
+        single = near.join(alone, "u").join(many, "v", "left").groupBy(F.col("u").alias("row_id")).agg(F.min(enough).alias("core"))
+        core = written(zero.unionByName(single.withColumn("core", F.lit(0.0) if k == 1 else F.col("core"))), "fit-core")
+        tree = written(mst.complete_tree(dealt, core, self.metric, self.alpha, self.p, weights, near), "fit-tree")
+        # Places so near each other that their distance is rounded to 0 have edges of weight 0 in an order of their own.
+        return (core, tree.unionByName(star)) if tree.where("w = 0").isEmpty() else None
 
     def fit_distances(self, distances: DataFrame) -> Fitted:
         """Group rows by given distances: u, v, dist of pairs, each pair once or both ways. Pairs that are left out aren't joined directly."""
@@ -132,11 +167,11 @@ class DensityGrouping:
         edges = K.undirected(K.mutual_reachability(near if native else both, core, 1.0 if native else self.alpha))
         forest = mst.spanning_forest(edges.withColumn("w", F.col("w").cast("float").cast("double")) if native else edges)
         points = core.select("row_id")
-        top = points.agg(F.coalesce(F.max("row_id"), F.lit(0))).first()[0]
-        return self._grouped(points, None, forest, core, top + 1)
+        n, top = points.agg(F.count("*"), F.coalesce(F.max("row_id"), F.lit(0))).first()
+        return self._grouped(points, None, forest, core, n, top + 1)
 
-    def _grouped(self, points: DataFrame, rows: DataFrame | None, forest: DataFrame, core: DataFrame, first: int) -> Fitted:
-        forest = written(mst.forest_components(written(forest, "fit-tree")), "fit-forest")
+    def _grouped(self, points: DataFrame, rows: DataFrame | None, forest: DataFrame, core: DataFrame, n: int, first: int) -> Fitted:
+        forest = written(mst.forest_components(written(forest, "fit-tree"), n), "fit-forest")
         hierarchy, condensed = H.merge_trees(forest, first, self._selection())
         epsilon = None
         if self.profile == "native" and self.cluster_selection_method == "leaf":
