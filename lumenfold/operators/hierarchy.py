@@ -14,18 +14,22 @@ merging; clusters likewise, the root first. Left is the side with the smaller le
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CLUSTER, CONDENSED, HIERARCHY
-from ..storage import ranked, release, written
+from ..storage import ranked, spread, written
 from .mst import Sets
 
 METHODS, PROFILES = ("eom", "leaf"), ("standard", "native")
+#: Clusters of a component that one task climbs from, and most such tasks; pairs of clusters handed on at a time.
+SHARE, SHARES, PAIRS = 1024, 64, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -86,8 +90,9 @@ def condense(t: Tree, min_size: int, profile: str) -> list[tuple[int, int, float
     if not m:
         return []
     met = np.zeros(n + m)
-    for i in range(m):
-        met[t.left[i]] = met[t.right[i]] = t.dist[i]
+    met[t.left] = met[t.right] = t.dist
+    # Lists, whose numbers take less time one by one than those of arrays.
+    left, right, dist, weight = (a.tolist() for a in (t.left, t.right, t.dist, t.size))
     rows: list[tuple[int, int, float, int]] = []
     todo, fresh = [(n + m - 1, n)], n + 1
 
@@ -347,15 +352,33 @@ def max_lambda(tree: DataFrame) -> DataFrame:
 def descendants(tree: DataFrame) -> DataFrame:
     """component, cluster, below, depth: all clusters under each cluster, from the cluster rows of condensed trees.
 
-    Paths are doubled each round, so that rounds grow with the logarithm of the depth.
+    A component's clusters come to SHARES tasks at most, each of which climbs from a share of them, level by level, and hands on
+    the pairs of a level at a time: a task holds the component's clusters, however many pairs there are.
     """
-    paths = written(tree.where("size > 1").select("component", F.col("parent").alias("cluster"), F.col("child").alias("below"), F.lit(1).cast("long").alias("depth")), "descendants")
-    reach, n = 1, paths.count()
-    while True:
-        more = paths.select("component", F.col("below").alias("cluster"), F.col("cluster").alias("top"), F.col("depth").alias("d")).where(F.col("d") <= reach)
-        longer = more.join(paths, ["component", "cluster"]).select("component", F.col("top").alias("cluster"), "below", (F.col("d") + F.col("depth")).alias("depth"))
-        old, paths = paths, written(paths.unionByName(longer).distinct(), "descendants")
-        release(old)
-        reach, before, n = 2 * reach, n, paths.count()
-        if n == before:
-            return paths
+    rows = tree.where("size > 1").select("component", "parent", "child")
+    shares = rows.groupBy("component").agg(F.least(F.ceil(F.count("*") / SHARE), F.lit(SHARES)).cast("int").alias("shares"))
+    rows = rows.join(shares, "component").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    whole = spread(rows, "component", "share").groupBy("component", "share", "shares").agg(F.collect_list("parent").alias("parent"), F.collect_list("child").alias("child"))
+
+    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                component, share, shares_ = (batch.column(c)[i].as_py() for c in ("component", "share", "shares"))
+                parent, child = (batch.column(c)[i].values.to_numpy() for c in ("parent", "child"))
+                by = np.argsort(child)
+                parent, child = parent[by], child[by]
+                at = np.searchsorted(child, parent)  # the parent's own row, if it has one
+                up = np.where((at < len(child)) & (child[np.minimum(at, len(child) - 1)] == parent), at, -1)
+                below = now = np.arange(share, len(child), shares_)
+                depth, held, n = 1, [], 0
+                while len(now):
+                    held.append((parent[now], child[below], np.full(len(now), depth)))
+                    n += len(now)
+                    on = up[now] >= 0
+                    below, now, depth = below[on], up[now[on]], depth + 1
+                    if n >= PAIRS or not len(now):
+                        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(n, component), *columns)], ["component", "cluster", "below", "depth"])
+                        held, n = [], 0
+
+    return whole.mapInArrow(climb, "component bigint, cluster bigint, below bigint, depth bigint")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.functions import scaling
+from lumenfold.operators import hierarchy as H
 from lumenfold.operators import knn as K
 from lumenfold.operators import mst
 from lumenfold.plans.estimator import DensityGrouping
@@ -51,3 +52,13 @@ def test_one_tree_needs_no_components(spark, monkeypatch):
         m.setattr(mst, "components", None)
         assert {tuple(r) for r in mst.forest_components(forest, 3).collect()} == {(3, 7, 9, 1.0), (3, 3, 9, 2.0)}
     assert {tuple(r) for r in mst.forest_components(spark.createDataFrame([(1, 2, 1.0), (5, 4, 1.0)], "u long, v long, w double"), 4).collect()} == {(1, 1, 2, 1.0), (4, 5, 4, 1.0)}
+
+
+def test_descendants_of_deep_trees(spark):
+    """A chain of 2500 clusters in one component, a small tree in another."""
+    n, first = 2500, 10**6
+    rows = [(1, first + i, first + i + 1, 1.0, 5) for i in range(n)] + [(2, 50, 51, 1.0, 9), (2, 50, 52, 1.0, 9), (2, 52, 53, 1.0, 4), (2, 52, 54, 2.0, 4), (2, 54, 3, 2.0, 1)]
+    got = H.descendants(spark.createDataFrame(rows, "component long, parent long, child long, lambda double, size long"))
+    assert {tuple(r) for r in got.where("component = 2").collect()} == {(2, 50, 51, 1), (2, 50, 52, 1), (2, 50, 53, 2), (2, 50, 54, 2), (2, 52, 53, 1), (2, 52, 54, 1)}
+    chain = got.where("component = 1")
+    assert chain.agg(F.count("*"), F.countDistinct("cluster", "below"), F.sum((F.col("below") - F.col("cluster") != F.col("depth")).cast("int"))).first()[:] == (n * (n + 1) // 2, n * (n + 1) // 2, 0)
