@@ -103,7 +103,7 @@ def condense(t: Tree, min_size: int, profile: str) -> list[tuple[int, int, float
             if y < n:
                 yield y
             else:
-                stack += [t.right[y - n], t.left[y - n]]
+                stack += [right[y - n], left[y - n]]
 
     at = 0
     while at < len(todo):
@@ -112,15 +112,15 @@ def condense(t: Tree, min_size: int, profile: str) -> list[tuple[int, int, float
         if profile == "native":
             lam = 0.0 if node == n + m - 1 else float(np.float32(_inverse(float(np.float32(met[node])))))
         else:
-            lam = _inverse(t.dist[node - n])
-        sides = [int(t.left[node - n]), int(t.right[node - n])]
-        big = [s for s in sides if t.size[s] >= min_size]
+            lam = _inverse(dist[node - n])
+        sides = [left[node - n], right[node - n]]
+        big = [s for s in sides if weight[s] >= min_size]
         for s in sides:
             if s not in big:
                 rows += [(cluster, x, lam, 1) for x in leaves(s)]
         for s in big:
             if len(big) == 2:
-                rows.append((cluster, fresh, lam, int(t.size[s])))
+                rows.append((cluster, fresh, lam, weight[s]))
                 todo.append((s, fresh))
                 fresh += 1
             elif s < n:
@@ -204,8 +204,12 @@ class Clusters:
             if self.children[c] and inner > worth[c] or self.size[c] > most:
                 chosen.discard(c)
                 worth[c] = inner
-            else:
-                chosen -= set(self.below(c))
+        # What is under a chosen cluster isn't chosen; parents have smaller numbers.
+        under: set[int] = set()
+        for c in sorted(self.up):
+            if self.up[c] in under or self.up[c] in chosen:
+                under.add(c)
+        chosen -= under
         if s.epsilon > 0 and self.profile == "standard" and len(chosen - {self.root}) and len(self.children) > 1:
             chosen = self.merged(sorted(chosen), s)
         return chosen
@@ -289,8 +293,9 @@ def choose(condensed: DataFrame, first: int, selection: Selection = Selection())
         tree = Clusters(rows, first, selection.profile)
         chosen = tree.select(selection)
         kept = [(0, component, c, None, tree.stability[c], tree.size[c], tree.children[c], c in chosen) for c in sorted(tree.children)]
-        kept += [(1, component, x, c, strength, None, None, None) for x, c, strength in tree.labelled(chosen, selection)]
-        return pd.DataFrame(kept, columns=_named(_CHOSEN)).astype({"b": "Int64", "size": "Int64", "selected": "boolean"})
+        kept = pd.DataFrame(kept, columns=_named(_CHOSEN)).astype({"b": "Int64", "size": "Int64", "selected": "boolean"})
+        points = pd.DataFrame(tree.labelled(chosen, selection), columns=["a", "b", "x"]).assign(kind=1, component=component, size=None, children=None, selected=None)
+        return pd.concat([kept, points[kept.columns].astype({"b": "Int64", "size": "Int64", "selected": "boolean"})], ignore_index=True)
 
     made = written(condensed.groupBy("component").applyInPandas(make, _CHOSEN), "chosen")
     clusters = made.where("kind = 0").select("component", F.col("a").alias("cluster"), F.col("x").alias("stability"), "size", "children", "selected")

@@ -1,5 +1,7 @@
 """Fits of points of which many are equal, and trees of clusters that are deep."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -62,3 +64,14 @@ def test_descendants_of_deep_trees(spark):
     assert {tuple(r) for r in got.where("component = 2").collect()} == {(2, 50, 51, 1), (2, 50, 52, 1), (2, 50, 53, 2), (2, 50, 54, 2), (2, 52, 53, 1), (2, 52, 54, 1)}
     chain = got.where("component = 1")
     assert chain.agg(F.count("*"), F.countDistinct("cluster", "below"), F.sum((F.col("below") - F.col("cluster") != F.col("depth")).cast("int"))).first()[:] == (n * (n + 1) // 2, n * (n + 1) // 2, 0)
+
+
+def test_selection_of_deep_trees():
+    """Each cluster of a chain is worth more than all under it: the outermost one is chosen, in time linear in the clusters."""
+    n, root = 15_000, 10
+    rows = [(root + i, root + i + 1, 1.0 - 0.5 / (i + 1), n - i) for i in range(n)] + [(root + n, x, 1.5, 1) for x in range(root)]
+    tree = H.Clusters(rows, root, "standard")
+    tree.stability = {c: float(n - c) for c in tree.stability}
+    began = time.perf_counter()
+    assert tree.select(H.Selection(2)) == {root + 1}
+    assert time.perf_counter() - began < 3
