@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scaling
 from ..functions.constraints import check, number, one_of
 from ..functions.distance import Metric, metric_name
+from ..operators import given as G
 from ..operators import hierarchy as H
 from ..operators import knn as K
 from ..operators import metrics as M
@@ -156,9 +157,16 @@ class DensityGrouping:
         return (core, tree.unionByName(star)) if tree.where("w = 0").isEmpty() else None
 
     def fit_distances(self, distances: DataFrame) -> Fitted:
-        """Group rows by given distances: u, v, dist of pairs, each pair once or both ways. Pairs that are left out aren't joined directly."""
+        """Group rows by given distances: u, v, dist of pairs, each pair once or both ways. Pairs that are left out aren't joined directly.
+
+        The pairs are read more than once."""
         native = self.profile == "native"
         k = self.min_samples or self.min_cluster_size
+        nodes = None if native else G.nodes_of(distances)
+        if nodes is not None and len(nodes):
+            near = written(G.nearest_given(distances, nodes, max(1, k - 1)), "fit-knn")
+            core = written(K.core_distances(near, k, include_self=True), "fit-core")
+            return self._grouped(core.select("row_id"), None, G.forest_given(distances, nodes, core, self.alpha), core, len(nodes), int(nodes[-1]) + 1)
         pairs = written(K.undirected(distances.select(F.col("u").cast("long"), F.col("v").cast("long"), F.col("dist").cast("double").alias("w")).where("u <> v and w is not null")), "fit-pairs")
         both = pairs.select("u", "v", F.col("w").alias("dist")).unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("w").alias("dist")))
         near = both.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("dist", "v"))).where(F.col("rank") <= (k if native else max(1, k - 1)))

@@ -75,3 +75,45 @@ def test_selection_of_deep_trees():
     began = time.perf_counter()
     assert tree.select(H.Selection(2)) == {root + 1}
     assert time.perf_counter() - began < 3
+
+
+@pytest.mark.parametrize(("k", "alpha", "spread_ids"), [(3, 1.0, 1), (5, 0.5, 10**12), (1, 1.0, 1)])
+def test_given_distances(spark, monkeypatch, k, alpha, spread_ids):
+    """Pairs given twice, both ways and with ties, in tasks that each see some of them and drop what they can do without, against
+    every pair in tables."""
+    from lumenfold.operators import given as G
+
+    monkeypatch.setattr(G, "HELD", 50)
+    rng = np.random.default_rng(k)
+    at = rng.integers(0, 30, 60)
+    pairs = [(i * spread_ids, j * spread_ids, float(abs(at[i] - at[j]))) for i in range(60) for j in range(60) if i != j and rng.random() < 0.7]
+    pairs += [(u, v, w + 1) for u, v, w in pairs[:100]] + [(0, 0, 1.0), (0, 7, None)]
+    given = spark.createDataFrame(pairs, "u long, v long, dist double").repartition(3)
+    fit = lambda: DensityGrouping(3, k, alpha=alpha).fit_distances(given)
+    made = []
+    with monkeypatch.context() as m:
+        m.setattr(K, "undirected", lambda *a: made.append(a))
+        few = fit()
+    assert not made
+    monkeypatch.setattr(G, "NODES", 10)
+    whole = fit()
+    for name in ("forest", "core", "labels"):
+        assert sorted(map(tuple, getattr(few, name).collect())) == sorted(map(tuple, getattr(whole, name).collect()))
+
+
+def test_core_by_pairs(spark):
+    rng = np.random.default_rng(0)
+    points = spark.createDataFrame([(i, [float(x)]) for i, x in enumerate(rng.integers(0, 50, 120))], "row_id long, features array<double>")
+    got = {r.row_id: r.core for r in K.core_by_pairs(points, 3, block=25).collect()}
+    x = np.array([r.features[0] for r in points.orderBy("row_id").collect()])
+    d = np.abs(x[:, None] - x[None, :])
+    np.fill_diagonal(d, np.inf)
+    assert got == dict(enumerate(np.sort(d, axis=1)[:, 2]))
+    assert {r.core for r in K.core_by_pairs(points.limit(3), 3).collect()} == {None}
+
+
+def test_every_pair_is_spread(spark, sf):
+    """One small file is one task's work unless one side of the pairs is dealt."""
+    from lumenfold.plans import catalog
+
+    assert catalog.complete_graph_edges(spark, sf).rdd.getNumPartitions() > 1
