@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenfold.llm import decontaminate, near_dedup, packing, secret_scan, toxicity
-from lumenfold.llm.common import table, written
+from lumenfold.llm.common import table, tidy, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,4 +50,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        tidy(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +29,20 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
+def give_back() -> None:
+    """Return what the driver's Python has freed to the system; where the C library has no such call, nothing."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Give back the memory of a stage that is over, in the driver's Python and its JVM, which otherwise keeps the most it ever used."""
+    give_back()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, label: str, small: bool = False) -> DataFrame:
     """Write a table in the shared folder and read it back."""
     small_batches(df.sparkSession)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_rows, held_out, slices, small_batches, table
+from .common import doc_rows, give_back, held_out, slices, small_batches, table
 from .ngrams import NGrams, bounded_sample
 
 BITS = 19
@@ -129,7 +129,10 @@ def learnable(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | None:
     got = learnable(docs, labels, label)
-    return got and fit(*got)
+    model = got and fit(*got)
+    del got
+    give_back()
+    return model
 
 
 def scores(texts: pa.Array, model: Model | None) -> np.ndarray:
