@@ -160,11 +160,16 @@ def estimated_eps(points: DataFrame, min_samples: int) -> DataFrame:
     return elbow(core_distances(knn(points, max(1, min_samples - 1)), min_samples, include_self=True))
 
 
-def choose_min_samples(points: DataFrame, fit) -> tuple[int, list[tuple[int, float]]]:
+def tried_min_samples(dim: int) -> range:
+    """The k from D + 1 to 2 D."""
+    return range(dim + 1, 2 * dim + 1)
+
+
+def choose_min_samples(points: DataFrame | int, fit) -> tuple[int, list[tuple[int, float]]]:
     """Of k from D + 1 to 2 D, that with the highest mean stability of selected clusters (the first of equals).
 
-    fit: k -> clusters (stability, selected) as `hierarchy.clusters` gives them.
+    points: a table of them, or D. fit: k -> clusters (stability, selected) as `hierarchy.clusters` gives them.
     """
-    dim = len(points.first().features)
-    tried = [(k, fit(k).where("selected").agg(F.coalesce(F.avg("stability"), F.lit(0.0)).alias("m")).first().m) for k in range(dim + 1, 2 * dim + 1)]
+    dim = points if isinstance(points, int) else len(points.first().features)
+    tried = [(k, fit(k).where("selected").agg(F.coalesce(F.avg("stability"), F.lit(0.0)).alias("m")).first().m) for k in tried_min_samples(dim)]
     return max(tried, key=lambda x: (x[1], -x[0]))[0], tried

@@ -54,7 +54,8 @@ class Selection:
 
 @dataclass
 class Tree:
-    """Merge tree of one component: leaves 0 to n - 1 stand for ids; node n + i is the i-th merge."""
+    """Merge tree of one component: leaves 0 to n - 1 stand for ids; node n + i is the i-th merge. A leaf of a size above 1 is
+    several points at one place, which goes by the smallest of their ids."""
 
     ids: np.ndarray
     left: np.ndarray
@@ -63,31 +64,39 @@ class Tree:
     size: np.ndarray
 
 
-def linkage(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> Tree:
-    """Merge tree of a spanning tree's edges."""
-    ids, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+def linkage(u: np.ndarray, v: np.ndarray, w: np.ndarray, ids: np.ndarray | None = None, held: np.ndarray | int = 1) -> Tree:
+    """Merge tree of a spanning tree's edges; ids: all its nodes, rising, which hold so many points each."""
+    ends = np.concatenate([u, v])
+    ids, ends = np.unique(ends, return_inverse=True) if ids is None else (ids, np.searchsorted(ids, ends))
     n, m = len(ids), len(u)
     order = np.lexsort((v, u, w))
     a, b = ends[:m][order].tolist(), ends[m:][order].tolist()
     sets, node = Sets(n), list(range(n))
-    left, right, size = np.empty(m, np.int64), np.empty(m, np.int64), np.ones(n + m, np.int64)
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        x, y = sorted((sets.find(x), sets.find(y)))
-        left[i], right[i] = node[x], node[y]
-        size[n + i] = size[node[x]] + size[node[y]]
-        sets.join(x, y)
-        node[x] = n + i
-    return Tree(ids, left, right, np.asarray(w, dtype=float)[order], size)
+    left, right, size = [], [], [1] * n if isinstance(held, int) else held.tolist()
+    find, up = sets.find, sets.up
+    for i, (x, y) in enumerate(zip(a, b, strict=True), n):
+        x, y = find(x), find(y)
+        if y < x:
+            x, y = y, x
+        p, q = node[x], node[y]
+        left.append(p)
+        right.append(q)
+        size.append(size[p] + size[q])
+        up[y] = x
+        node[x] = i
+    return Tree(ids, *(np.array(c, dtype=np.int64) for c in (left, right)), np.asarray(w, dtype=float)[order], np.array(size, dtype=np.int64))
 
 
 def _inverse(d: float) -> float:
     return 1.0 / d if d > 0 else np.inf
 
 
-def condense(t: Tree, min_size: int, profile: str) -> list[tuple[int, int, float, int]]:
-    """(parent, child, lambda, size): children below n are points, those from n on are clusters; the root is n."""
+def condense(t: Tree, min_size: int, profile: str, summed: bool = False) -> list[tuple[int, int, float, int]]:
+    """(parent, child, lambda, size): children below n are points, those from n on are clusters; the root is n.
+
+    summed: points that fall from a cluster together are one row, with child 0 and their number."""
     n, m = len(t.ids), len(t.left)
-    if not m:
+    if not n:
         return []
     met = np.zeros(n + m)
     met[t.left] = met[t.right] = t.dist
@@ -109,6 +118,9 @@ def condense(t: Tree, min_size: int, profile: str) -> list[tuple[int, int, float
     while at < len(todo):
         node, cluster = todo[at]
         at += 1
+        if node < n:  # the points of a place leave at distance 0
+            rows.append((cluster, node, np.inf, weight[node]))
+            continue
         if profile == "native":
             lam = 0.0 if node == n + m - 1 else float(np.float32(_inverse(float(np.float32(met[node])))))
         else:
@@ -117,14 +129,12 @@ def condense(t: Tree, min_size: int, profile: str) -> list[tuple[int, int, float
         big = [s for s in sides if weight[s] >= min_size]
         for s in sides:
             if s not in big:
-                rows += [(cluster, x, lam, 1) for x in leaves(s)]
+                rows += [(cluster, 0, lam, weight[s])] if summed else [(cluster, x, lam, weight[x]) for x in leaves(s)]
         for s in big:
             if len(big) == 2:
                 rows.append((cluster, fresh, lam, weight[s]))
                 todo.append((s, fresh))
                 fresh += 1
-            elif s < n:
-                rows.append((cluster, s, lam, 1))
             else:
                 todo.append((s, cluster))
     return rows
@@ -137,7 +147,7 @@ class Clusters:
         self.rows, self.root, self.profile = rows, root, profile
         self.children: dict[int, list[int]] = {root: []}
         self.birth, self.up = {root: 0.0}, {}
-        self.size = {root: sum(1 for _, child, _, _ in rows if child < root)}
+        self.size = {root: sum(size for _, child, _, size in rows if child < root)}
         for parent, child, lam, size in rows:
             if child >= root:
                 self.children.setdefault(parent, []).append(child)
@@ -303,6 +313,31 @@ def choose(condensed: DataFrame, first: int, selection: Selection = Selection())
     return clusters.select(*_named(CLUSTER)), points
 
 
+def place_clusters(forest: DataFrame, places: DataFrame, first: int, selection: Selection = Selection()) -> DataFrame:
+    """The clusters that `merge_trees` and `choose` give for all points, from one point for each place.
+
+    places: row_id, n: the smallest id of a place, and its points, which are joined by edges of weight 0. forest: u, v, w of the one
+    tree over places. No rows where a place of several points has another edge of weight 0, whose order isn't known then, or where
+    the tree doesn't join all places. One task holds the places; it hands on the clusters only.
+    """
+
+    def make(edges: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("row_id")
+        ids, held = own["row_id"].to_numpy(), own["n"].to_numpy()
+        u, v, w = (edges[c].to_numpy() for c in ("u", "v", "w"))
+        zero = w == 0
+        rows = []
+        if len(u) == len(ids) - 1 and not (held[np.searchsorted(ids, np.concatenate([u[zero], v[zero]]))] > 1).any():
+            n = len(ids)
+            tree = Clusters(condense(linkage(u, v, w, ids, held), selection.min_cluster_size, selection.profile, summed=True), n, selection.profile)
+            chosen, outer = tree.select(selection), first - n
+            rows = [(int(ids[0]), c + outer, tree.stability[c], tree.size[c], [x + outer for x in tree.children[c]], c in chosen) for c in sorted(tree.children)]
+        return pd.DataFrame(rows, columns=_named(CLUSTER))
+
+    one = F.lit(0).alias("tree")
+    return forest.groupBy(one).cogroup(places.groupBy(one)).applyInPandas(make, CLUSTER)
+
+
 def labels(points: DataFrame, chosen: DataFrame) -> DataFrame:
     """row_id, label (0 on, in order of component and cluster; noise -1), probability of every point."""
     numbered = ranked(chosen.where("cluster is not null").select("component", "cluster").distinct(), ["component", "cluster"], "label").withColumn("label", F.col("label").cast("int"))

@@ -47,12 +47,38 @@ class Sets:
         return True
 
 
+def first_edges(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the edges between 0 to n - 1 join what no earlier ones join: by rounds of each component's first edge."""
+    m, label = len(a), np.arange(n)
+    taken, left = np.zeros(m, dtype=bool), np.arange(m)
+    while True:
+        x, y = label[a[left]], label[b[left]]
+        open_ = x != y
+        left, x, y = left[open_], x[open_], y[open_]
+        if not len(left):
+            return taken
+        # Of several values for one place the last is kept: from the end, that is the first edge.
+        first, other = np.full(n, m), np.full(n, m)
+        first[x[::-1]], other[y[::-1]] = left[::-1], left[::-1]
+        first = np.minimum(first, other)
+        root = np.flatnonzero(first < m)
+        edge = first[root]
+        taken[edge] = True
+        up, p, q = np.arange(n), label[a[edge]], label[b[edge]]
+        up[root] = np.where(p == root, q, p)
+        top = root[(up[up[root]] == root) & (root < up[root])]  # two that choose the same edge
+        up[top] = top
+        while not np.array_equal(over := up[up], up):
+            up = over
+        label = up[label]
+
+
 def kruskal(pdf: pd.DataFrame) -> pd.DataFrame:
     """Forest of the edges u, v, w."""
     pdf = pdf.sort_values(["w", "u", "v"], kind="stable")
     ids, ends = np.unique(pdf[["u", "v"]].to_numpy().ravel(), return_inverse=True)
-    ends, sets = ends.reshape(-1, 2).tolist(), Sets(len(ids))
-    return pdf[[sets.join(a, b) for a, b in ends]]
+    ends = ends.reshape(-1, 2)
+    return pdf[first_edges(ends[:, 0], ends[:, 1], len(ids))]
 
 
 def _each_part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -317,7 +343,8 @@ def complete_tree(points: DataFrame | Dealt, core: DataFrame, metric: Metric = "
         return _edges(ids, joined[crossing], to[crossing], w[crossing])
 
     between = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(cross, EDGE)
-    return spanning_forest(own.unionByName(between))
+    # The merge tree takes the tree's edges in one task in any case.
+    return spanning_forest(own.unionByName(between), max(EDGES, 4 * dealt.n))
 
 
 def verify_forest(edges: DataFrame, forest: DataFrame) -> bool:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 from numbers import Integral, Real
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,25 +93,13 @@ class DensityGrouping:
     def fit(self, df: DataFrame, id_col: str = "row_id", columns: Sequence[str] | None = None) -> Fitted:
         """Group the rows of df by its feature columns. Rows with a null or NaN are labelled -3, with an infinite value -2."""
         columns = list(columns or self.columns)
-        cells = [F.col(c).cast("double") for c in columns]
-        rows = df.select(F.col(id_col).cast("long").alias("row_id"), *(c.alias(f"f{i}") for i, c in enumerate(cells)))
-        names = [f"f{i}" for i in range(len(columns))]
-        missing = F.lit(False)
-        infinite = F.lit(False)
-        for n in names:
-            missing |= F.col(n).isNull() | F.isnan(n)
-            infinite |= F.abs(n) == float("inf")
-        rows = written(rows.withColumn("odd", F.when(missing, MISSING).when(infinite, INFINITE)), "fit-rows")
-        good = rows.where("odd is null").drop("odd")
-        normalise = self.profile == "native" if self.normalise is None else self.normalise
-        if normalise:
-            good = scaling.min_max(good, names)
-        points = scaling.features(good, "row_id", names)
+        rows = written(self._rows(df, id_col, columns), "fit-rows")
+        points = self._points(rows, columns)
         n, top = points.agg(F.count("*"), F.coalesce(F.max("row_id"), F.lit(0))).first()
         k = self.min_samples or self.min_cluster_size
         if n < 2 or k > n:
             raise ValueError(f"{n} rows for min_samples {k}")
-        weights = [self.weights.get(c, 1.0) for c in columns] if isinstance(self.weights, Mapping) else self.weights
+        weights = self._weights(columns)
         native = self.profile == "native"
         found = None if native else self._by_places(points, k, weights)
         if found:
@@ -125,6 +115,73 @@ class DensityGrouping:
             forest = mst.complete_tree(dealt, core, self.metric, self.alpha, self.p, weights, near)
         return self._grouped(points, rows, forest, core, n, top + 1)
 
+    def _rows(self, df: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:
+        """row_id, the columns as f0, f1, ..., and the label of rows that can't be placed as odd."""
+        cells = [F.col(c).cast("double") for c in columns]
+        names = [f"f{i}" for i in range(len(columns))]
+        rows = df.select(F.col(id_col).cast("long").alias("row_id"), *(c.alias(n) for n, c in zip(names, cells, strict=True)))
+        missing = F.lit(False)
+        infinite = F.lit(False)
+        for n in names:
+            missing |= F.col(n).isNull() | F.isnan(n)
+            infinite |= F.abs(n) == float("inf")
+        return rows.withColumn("odd", F.when(missing, MISSING).when(infinite, INFINITE))
+
+    def _points(self, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+        names = [f"f{i}" for i in range(len(columns))]
+        good = rows.where("odd is null").drop("odd")
+        normalise = self.profile == "native" if self.normalise is None else self.normalise
+        if normalise:
+            good = scaling.min_max(good, names)
+        return scaling.features(good, "row_id", names)
+
+    def _weights(self, columns: Sequence[str]) -> Sequence[float] | None:
+        return [self.weights.get(c, 1.0) for c in columns] if isinstance(self.weights, Mapping) else self.weights
+
+    def _plain(self, weights: Sequence[float] | None) -> bool:
+        """Whether points have distance 0 where they are equal, and otherwise only by rounding."""
+        return metric_name(self.metric) in K.PLAIN and (weights is None or min(weights) > 0)
+
+    def clusters_for(self, df: DataFrame, tried: Sequence[int], id_col: str = "row_id", columns: Sequence[str] | None = None) -> dict[int, DataFrame]:
+        """`fit(...).clusters` for each of several min_samples, whose fits share places and neighbours; two trees grow at a time.
+
+        One point stands for all at a place that holds as many points as the largest min_samples, as in `_by_places`; it counts
+        as so many in the merge tree.
+        """
+        columns, tried = list(columns or self.columns), sorted(set(tried))
+        alone = lambda k: replace(self, min_samples=k).fit(df, id_col, columns).clusters
+        weights = self._weights(columns)
+        if self.profile == "native" or not self._plain(weights):
+            return {k: alone(k) for k in tried}
+        most = tried[-1]
+        points = self._points(self._rows(df, id_col, columns), columns)
+        places = written(points.groupBy("features").agg(F.min("row_id").alias("row_id"), F.max("row_id").alias("top"), F.count("*").alias("n")), "fit-places")
+        some = (F.col("n") > 1) & (F.col("n") < most)
+        n, top, few = places.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("top"), F.lit(0)), F.coalesce(F.sum(some.cast("int")), F.lit(0))).first()
+        if n < 2 or most > n:
+            raise ValueError(f"{n} rows for min_samples {most}")
+        held = places.where(~some).select("row_id", "features", "n")
+        if few:
+            apart = points.join(places.where(some).select("features"), "features", "left_semi")
+            held = written(held.unionByName(apart.select("row_id", "features", F.lit(1).cast("long").alias("n"))), "fit-held")
+        dealt = K.deal(held, self.metric, self.p, weights)
+        if dealt.n == 1:
+            return {k: alone(k) for k in tried}
+        many = held.where("n > 1").select(F.col("row_id").alias("v"), F.lit(True).alias("many"))
+        near = K.knn(dealt, min(max(1, most - 1), dealt.n - 1), self.metric, self.p, weights)
+        near = written(near.join(many, "v", "left"), "fit-knn")
+
+        def clusters(k: int) -> DataFrame:
+            enough = F.when((F.col("rank") == k - 1) | F.col("many"), F.col("dist"))
+            core = near.groupBy(F.col("u").alias("row_id")).agg(F.min(enough).alias("core")).join(held.select("row_id", "n"), "row_id")
+            core = written(core.select("row_id", F.when(F.lit(k == 1) | (F.col("n") > 1), 0.0).otherwise(F.col("core")).alias("core")), "fit-core")
+            tree = mst.complete_tree(dealt, core, self.metric, self.alpha, self.p, weights, near)
+            found = written(H.place_clusters(tree, held.select("row_id", "n"), top + 1, self._selection()), "chosen")
+            return alone(k) if found.isEmpty() else found
+
+        with ThreadPoolExecutor(2) as pool:
+            return dict(zip(tried, pool.map(inheritable_thread_target(df.sparkSession)(clusters), tried), strict=True))
+
     def _by_places(self, points: DataFrame, k: int, weights: Sequence[float] | None) -> tuple[DataFrame, DataFrame] | None:
         """Core distances and the tree, with one point for each place that holds k points or more; None where that doesn't apply.
 
@@ -132,7 +189,7 @@ class DensityGrouping:
         smallest of them to each other one. All have the same distances to the rest, and of equal edges that of the smallest comes
         first: it stands for all. Neighbours are looked for among those that are left, where one that stands for others is k.
         """
-        if metric_name(self.metric) not in K.PLAIN or weights is not None and min(weights) <= 0:
+        if not self._plain(weights):
             return None
         places = points.groupBy("features").agg(F.count("*").alias("n"), F.min("row_id").alias("home")).where((F.col("n") > 1) & (F.col("n") >= k))
         marked = written(points.join(places, "features", "left").select("row_id", "features", "home"), "fit-places")

@@ -56,6 +56,53 @@ def test_one_tree_needs_no_components(spark, monkeypatch):
     assert {tuple(r) for r in mst.forest_components(spark.createDataFrame([(1, 2, 1.0), (5, 4, 1.0)], "u long, v long, w double"), 4).collect()} == {(1, 1, 2, 1.0), (4, 5, 4, 1.0)}
 
 
+def _clusters(table):
+    rows = sorted(table.collect(), key=lambda r: (r.component, r.cluster))
+    return [(r.component, r.cluster, r.size, r.children, r.selected) for r in rows], [r.stability for r in rows]
+
+
+@pytest.mark.parametrize(("seed", "places", "n", "tried"), [(1, 8, 400, (3, 4)), (2, 12, 400, (4, 3, 90)), (3, 1, 60, (1, 5)), (4, 2, 300, (2, 80)), (5, 14, 400, (1, 2, 6)), (6, 10**6, 200, (3, 4)), (7, 40, 600, (2, 3))])
+def test_clusters_for_several_min_samples(spark, seed, places, n, tried):
+    rows = _grid(spark, seed, places, n)
+    got = DensityGrouping(6).clusters_for(rows, tried, columns=["x", "y"])
+    assert list(got) == sorted(tried)
+    for k in tried:
+        (same, stability), (want, wanted) = _clusters(got[k]), _clusters(DensityGrouping(6, k).fit(rows, columns=["x", "y"]).clusters)
+        assert same == want
+        assert stability == pytest.approx(wanted, rel=1e-9)
+
+
+def test_clusters_for_distances_rounded_to_0(spark):
+    """Places 1e-200 apart, of which one holds few points; and rows that can't be placed, or are too few."""
+    rows = spark.createDataFrame([(i, 1e-200 * (i % 7 == 0) + i // 20) for i in range(60)] + [(70, None), (71, float("nan")), (72, float("inf"))], "row_id long, x double")
+    got = DensityGrouping(5).clusters_for(rows, (2, 3), columns=["x"])
+    for k in (2, 3):
+        assert _clusters(got[k]) == _clusters(DensityGrouping(5, k).fit(rows, columns=["x"]).clusters)
+    with pytest.raises(ValueError):
+        DensityGrouping(5).clusters_for(rows, (2, 61), columns=["x"])
+
+
+def test_min_samples_choice_looks_once_at_each_place(spark, sf, tmp_path, monkeypatch):
+    """Parts repeated 5 times: both fits share one search, among one point for each place, and make no labels."""
+    from lumenfold.plans import catalog
+
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    part.crossJoin(spark.range(5)).withColumn("p_partkey", F.col("p_partkey") + F.col("id") * 1000).drop("id").write.parquet(f"{tmp_path}/part.parquet")
+    k = part.select("p_size", "p_retailprice").distinct().count()
+    dealt, deal = [], K.deal
+    monkeypatch.setattr(K, "deal", lambda *a, **b: dealt.append(deal(*a, **b)) or dealt[-1])
+    monkeypatch.setattr(H, "labels", None)
+    assert [r.k for r in catalog.min_samples_choice(spark, str(tmp_path)).collect()] == [3, 4]
+    assert [d.n for d in dealt] == [k]
+
+
+@pytest.mark.parametrize(("seed", "n", "m"), [(1, 40, 30), (2, 40, 200), (3, 500, 3000), (4, 5, 40), (5, 2, 1)])
+def test_first_edges(seed, n, m):
+    a, b = np.random.default_rng(seed).integers(0, n, (2, m))
+    sets = mst.Sets(n)
+    assert mst.first_edges(a, b, n).tolist() == [sets.join(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+
+
 def test_descendants_of_deep_trees(spark):
     """A chain of 2500 clusters in one component, a small tree in another."""
     n, first = 2500, 10**6
